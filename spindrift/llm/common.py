@@ -108,5 +108,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def rows_of(batches: Iterable, *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python tuples of the named columns."""
+    for part in parts_of(batches, *names):
+        yield from part
+
+
+def parts_of(batches: Iterable, *names: str) -> Iterator[Iterator[tuple]]:
+    """As :func:`rows_of`, batch by batch."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        yield zip(*(batch.column(n).to_pylist() for n in names), strict=True)

@@ -32,8 +32,10 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.llm.common import table, without
 
@@ -151,7 +153,7 @@ def _encoded(texts: list[str | None], bpe: Bpe) -> tuple[pa.Array, pa.Array]:
 
 def _slices(batch: pa.RecordBatch, text_at: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most about ``limit`` bytes of text, one row at least."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0)).astype(np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)).astype(np.int64)
     marks = np.cumsum(lengths) // limit
     starts = np.flatnonzero(np.diff(marks, prepend=-1))
     for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):
@@ -171,7 +173,7 @@ def bpe_encode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
     kept = [i for i in range(len(names)) if keep_text or i != at]
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     plain = {names[i]: f"c{i}" for i in range(len(names))}
-    renamed = base.toDF(*[plain[n] for n in names]).withColumn(f"c{at}", base.toDF(*[plain[n] for n in names])[f"c{at}"].cast("string"))
+    renamed = base.toDF(*[plain[n] for n in names]).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
     schema = ", ".join([f"c{i} {'string' if i == at else kinds[names[i]]}" for i in kept] + ["ids array<int>", "n_tokens int"] + (["round_trip boolean"] if check else []))
 
     def encode(batches):

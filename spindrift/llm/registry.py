@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, chat, mixing, quality, toxicity
+from spindrift.llm import bpe, chat, mixing, ngram_join, quality, toxicity
 
-_MODULES = (toxicity, chat, quality, bpe, mixing)
+_MODULES = (toxicity, ngram_join, chat, quality, bpe, mixing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -1,15 +1,16 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its word n-grams. Within a size band every set is hashed
-into a sketch of C words of 64 bits: an n-gram flips one bit of one word (XOR), so
+into a sketch of C words of 2^32 bits: an n-gram flips one bit of one word (XOR), so
 the Hamming distance of two sketches is at most the symmetric difference of the
 sets. Jaccard >= t bounds that difference by D = (1-t)/(1+t) (|a|+|b|), hence at
 most D words differ: of any D+1 non-empty words of a document one must recur in its
-partner at the same place (pigeonhole). A document therefore emits D+1 of its words
-as join keys, those expected to be rarest by the document frequencies of all n-grams
-in the corpus; a common total order of the keys makes this a prefix filter, so no
-pair is lost. Documents with too few non-empty words (D or fewer) emit all words,
-empty ones too, which covers pairs of such documents.
+partner at the same place (pigeonhole). The sketch is sparse; a word is kept as the
+XOR of 64-bit hashes of its set bits, which flips with the same parity. A document
+emits D+1 of its words as join keys, those expected to be rarest by the document
+frequencies of all n-grams in the corpus; a common total order of the keys makes this
+a prefix filter, so no pair is lost. Documents with too few non-empty words (D or
+fewer) emit all words, empty ones too, which covers pairs of such documents.
 
 Pairs that share a key are verified on the n-gram sets themselves, so the result is
 exact (as far as 64-bit hashes of n-grams and sets tell them apart).
@@ -31,6 +32,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,10 +43,13 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import WORD, WordHasher, column, materialize, mix64, parts_of, table
 
-N, THRESHOLD = 2, 0.75
-#: Slots of the table of document frequencies (a fixed 1 MB for the tasks), the ratio of
-#: a band's bounds, words of a sketch per n-gram of the lower bound, pairs a verify cell.
-SLOTS, RATIO, SPREAD, CELL_PAIRS = 1 << 18, 2.0, 1.1, 40_000
+N, THRESHOLD = 2, 0.8
+#: Slots of the table of document frequencies (a fixed 2 MB for the tasks), the ratio of
+#: a band's bounds, places of a sketch per n-gram of the lower bound, pairs a verify cell.
+SLOTS, RATIO, SPREAD, CELL_PAIRS = 1 << 18, 2.0, 0.9, 40_000
+#: n-grams whose keys (about half as many) one task holds at a time.
+PART_GRAMS = 6_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_set(words: list[str], n: int, hasher: WordHasher) -> np.ndarray:
@@ -52,16 +58,19 @@ def gram_set(words: list[str], n: int, hasher: WordHasher) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = hasher(words)
     width = min(n, len(words))
-    g = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - width + 1 + i])
-    return np.unique(g)
+    g = h[: len(words) - width + 1] * _ODD + np.uint64(width)
+    for i in range(1, width):
+        g ^= g >> np.uint64(29)
+        g = (g + h[i : len(words) - width + 1 + i]) * _ODD
+    g = np.sort(g ^ (g >> np.uint64(32)))
+    return g[np.concatenate([[True], g[1:] != g[:-1]])]
 
 
 def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+@lru_cache(maxsize=100_000)
 def bands(size: int, t: float) -> list[tuple[int, int]]:
     """(band, D): the bands a set of this size joins, and the most words that may differ there."""
     own = int(np.floor(np.log(size) / np.log(RATIO) + 1e-12))
@@ -78,132 +87,160 @@ def bands(size: int, t: float) -> list[tuple[int, int]]:
     return out
 
 
-def sketch_keys(grams: np.ndarray, frequency: np.ndarray, t: float) -> np.ndarray:
-    """The join keys of one set, over its bands."""
-    keys = []
-    for band, d in bands(len(grams), t):
-        count = int(np.ceil(SPREAD * RATIO**band)) + 1
-        place = (grams % np.uint64(count)).astype(np.int64)
-        bit = np.uint64(1) << ((grams >> np.uint64(40)) & np.uint64(63))
-        order = np.argsort(place, kind="stable")
-        at, starts = np.unique(place[order], return_index=True)
-        words = np.bitwise_xor.reduceat(bit[order], starts)
-        rarity = np.add.reduceat(frequency[(grams[order] & np.uint64(SLOTS - 1)).astype(np.int64)], starts)
+def rarity_table(counts: np.ndarray, documents: int) -> np.ndarray:
+    """64 times the bits of surprise at an n-gram of each slot, as whole numbers."""
+    return np.round(64 * np.log2((documents + 1.0) / (counts + 0.5)).clip(0, 500)).astype(np.uint64)
+
+
+def sketch_keys(grams: np.ndarray, size: int, rarity: np.ndarray, t: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each band of a set of ``size``: its join keys in their common order, and for
+    each the two keys before it (32 bits of each; 0 where there is none).
+
+    ``grams`` are 32 bits of the n-grams' hashes. Folding hashes can only bring two sets
+    closer, so the bound on differing words holds for them.
+    """
+    out = []
+    surprise = rarity[grams & np.uint32(SLOTS - 1)]
+    wide = grams.astype(np.uint64)
+    tail = wide << np.uint64(11) | np.minimum(surprise, np.uint64(2047))
+    for band, d in bands(size, t):
+        count = min(int(np.ceil(SPREAD * RATIO**band)) + 1, 1 << 21)
+        v = np.sort((wide % np.uint64(count)) << np.uint64(43) | tail)
+        place = v >> np.uint64(43)
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        words = np.bitwise_xor.reduceat(mix64((v >> np.uint64(11)) ^ _seed(band)), starts)
+        rare = np.add.reduceat(v & np.uint64(2047), starts)
+        place = place[starts]
         some = words != 0
-        at, words, rarity = at[some], words[some], rarity[some]
-        seed = np.array([(band + 1) * 0x100000001B3], np.uint64)
-        key = mix64(mix64(words ^ seed) + at.astype(np.uint64))
-        if len(key) > d:
-            # a total order of the keys: expected frequency, then the key itself
-            order = np.lexsort((key, rarity))[: d + 1]
-            keys.append(key[order])
-        else:
-            empty = np.setdiff1d(np.arange(count), at, assume_unique=True).astype(np.uint64)
-            keys += [key, mix64(mix64(seed ^ np.uint64(1 << 63)) ^ (empty + np.uint64(7)))]
-    return np.unique(np.concatenate(keys))
+        if not some.all():
+            words, rare, place = words[some], rare[some], place[some]
+        key = words
+        # the common order: rarest first, then by the key itself
+        order = (np.uint64((1 << 24) - 1) - np.minimum(rare, np.uint64((1 << 24) - 1))) << np.uint64(40) | key >> np.uint64(24)
+        key = key[np.argsort(order)[: d + 1]]
+        if len(key) <= d:
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place, assume_unique=True)
+            key = np.concatenate([key, np.sort(mix64(mix64(_seed(band) ^ np.uint64(1 << 63)) ^ (empty + np.uint64(7))))])
+        short = key >> np.uint64(32) | np.uint64(1)
+        before = np.zeros(len(key), np.uint64)
+        before[1:] = short[:-1]
+        before[2:] |= short[:-2] << np.uint64(32)
+        out.append((key, before))
+    return out
+
+
+def _seed(band: int) -> np.ndarray:
+    return np.array([(band + 1) * 0x100000001B3], np.uint64)
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
-    """kind 0: (doc_id, text hash, set id, size) of every document with words; kind 1: document frequencies by slot."""
+    """kind 0: (doc_id, text hash, set id, size, folded n-grams) of every document with words;
+    kind 1: document frequencies of n-grams by slot."""
 
     def scan(batches):
         hasher, total = WordHasher(), np.zeros(SLOTS, np.int64)
-        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("g", pa.binary())])
+        find = WORD.findall
         for part in parts_of(batches, "doc_id", "th", "text"):
-            out = []
+            out, held = [], 0
             for doc_id, th, text in part:
-                grams = gram_set(WORD.findall(text.lower()), n, hasher) if text else ()
+                grams = gram_set(find(text.lower()), n, hasher) if text else ()
                 if len(grams):
-                    np.add.at(total, (grams & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-                    out.append((0, doc_id, th, set_id(grams), len(grams)))
+                    folded = grams.astype(np.uint32)
+                    np.add.at(total, folded & np.uint32(SLOTS - 1), 1)
+                    out.append((0, doc_id, th, set_id(grams), len(grams), folded.tobytes()))
+                    held += len(grams)
+                    if held > 2_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         slots = np.flatnonzero(total)
         if len(slots):
             none = pa.nulls(len(slots), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int8)), none, pa.array(slots), none, pa.array(total[slots])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int8)), none, pa.array(slots), none, pa.array(total[slots]), pa.nulls(len(slots), pa.binary())], schema=schema)
 
-    return rows.mapInArrow(scan, "kind byte, doc_id bigint, a bigint, b bigint, n bigint")
+    return rows.mapInArrow(scan, "kind byte, doc_id bigint, a bigint, b bigint, n bigint, g binary")
 
 
-def _keys(rows: DataFrame, frequency, n: int, t: float) -> DataFrame:
-    """(key, sid) of every document's sketch words."""
+def _keys(sets: DataFrame, rarity, t: float) -> DataFrame:
+    """(key, sid, before) of every set's sketch words; a set seen again in a task is skipped."""
 
     def scan(batches):
-        hasher = WordHasher()
-        for part in parts_of(batches, "text"):
-            keys, ids, held = [], [], 0
-            for (text,) in part:
-                grams = gram_set(WORD.findall(text.lower()), n, hasher) if text else ()
-                if len(grams):
-                    keys.append(sketch_keys(grams, frequency.value, t))
-                    ids.append((set_id(grams), len(keys[-1])))
-                    held += len(keys[-1])
+        seen: set[int] = set()
+        for part in parts_of(batches, "sid", "size", "g"):
+            keys, befores, ids, held = [], [], [], 0
+            for sid, size, g in part:
+                if sid in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(sid)
+                for key, before in sketch_keys(np.frombuffer(g, np.uint32), size, rarity.value, t):
+                    keys.append(key)
+                    befores.append(before)
+                    ids.append((sid, len(key)))
+                    held += len(key)
                 if held > 200_000:
-                    yield _key_batch(keys, ids)
-                    keys, ids, held = [], [], 0
+                    yield _key_batch(keys, befores, ids)
+                    keys, befores, ids, held = [], [], [], 0
             if keys:
-                yield _key_batch(keys, ids)
+                yield _key_batch(keys, befores, ids)
 
-    return rows.mapInArrow(scan, "key bigint, sid bigint")
+    return sets.mapInArrow(scan, "key bigint, sid bigint, before bigint")
 
 
-def _key_batch(keys: list[np.ndarray], ids: list[tuple[int, int]]) -> pa.RecordBatch:
+def _key_batch(keys: list[np.ndarray], befores: list[np.ndarray], ids: list[tuple[int, int]]) -> pa.RecordBatch:
     sid = np.repeat(np.array([i for i, _ in ids], np.int64), [c for _, c in ids])
-    return pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "sid": sid})
+    return pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "sid": sid, "before": np.concatenate(befores).view(np.int64)})
 
 
 def _run_pairs(batches):
-    """Pairs of set ids that share a key, from rows sorted by (key, sid)."""
-    last_key = np.empty(0, np.int64)
-    last_sid = np.empty(0, np.int64)
-
-    def pairs(key: np.ndarray, sid: np.ndarray):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        key, sid = key[new], sid[new]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        lengths = np.diff(np.append(starts, len(key)))
-        many = lengths > 1
-        firsts, seconds, held = [], [], 0
-        for size in np.unique(lengths[many]):
-            begin = starts[lengths == size]
-            i, j = np.triu_indices(size, 1) if size <= 3000 else (None, None)
-            step = max(1, 2_000_000 // (size * size))
-            for at in range(0, len(begin), step) if i is not None else ():
-                b = begin[at : at + step, None]
-                firsts.append(sid[(b + i).ravel()])
-                seconds.append(sid[(b + j).ravel()])
-                held += len(firsts[-1])
-                if held > 1_000_000:
-                    yield _pair_batch(firsts, seconds)
-                    firsts, seconds, held = [], [], 0
-            if i is None:
-                for b in begin:
-                    for r in range(size - 1):
-                        firsts.append(np.full(size - 1 - r, sid[b + r]))
-                        seconds.append(sid[b + r + 1 : b + size])
-                        held += size - 1 - r
-                        if held > 1_000_000:
-                            yield _pair_batch(firsts, seconds)
-                            firsts, seconds, held = [], [], 0
-        if firsts:
-            yield _pair_batch(firsts, seconds)
-
-    for batch in batches:
-        key, sid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        key, sid = np.concatenate([last_key, key]), np.concatenate([last_sid, sid])
-        cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-        last_key, last_sid = key[cut:], sid[cut:]
-        if cut:
-            yield from pairs(key[:cut], sid[:cut])
-    if len(last_key):
-        yield from pairs(last_key, last_sid)
-
-
-def _pair_batch(firsts: list[np.ndarray], seconds: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], 1), axis=0) if len(firsts) else np.empty((0, 2), np.int64)
-    return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
+    """Pairs of set ids that share a key of this partition.
+
+    A pair that also shares a key right before this one, in the common order, is left
+    to that key: the first key two sets share always yields the pair.
+    """
+    arrays = [[np.asarray(b.column(i)) for i in range(3)] for b in batches]
+    if not arrays:
+        return
+    key, sid, before = (np.concatenate(x) for x in zip(*arrays, strict=True))
+    del arrays
+    order = np.lexsort((sid, key))
+    key, sid, before = key[order], sid[order], before[order].view(np.uint64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+    key, sid, before = key[new], sid[new], before[new]
+    one, two = (before & np.uint64(0xFFFFFFFF)).astype(np.uint32), (before >> np.uint64(32)).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lengths = np.diff(np.append(starts, len(key)))
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        skip = ((one[i] == one[j]) | (one[i] == two[j])) & (one[i] != 0)
+        skip |= ((two[i] == one[j]) | (two[i] == two[j])) & (two[i] != 0)
+        return sid[i[~skip]], sid[j[~skip]]
+
+    firsts, seconds, held = [], [], 0
+    for size in np.unique(lengths[lengths > 1]):
+        begin = starts[lengths == size]
+        rows = np.arange(size - 1)
+        # rows of the triangle, so many at a time that a step stays small
+        step = max(1, 1_000_000 // int(size))
+        if size <= 1000:
+            i, j = np.triu_indices(size, 1)
+            some = max(1, 1_000_000 // len(i))
+            parts = ((b[:, None] + i, b[:, None] + j) for b in (begin[at : at + some] for at in range(0, len(begin), some)))
+        else:
+            parts = ((b + np.repeat(r, size - 1 - r), b + np.concatenate([np.arange(x + 1, size) for x in r])) for b in begin for r in (rows[at : at + step] for at in range(0, size - 1, step)))
+        for i, j in parts:
+            x, y = kept(i.ravel(), j.ravel())
+            firsts.append(x)
+            seconds.append(y)
+            held += len(x)
+            if held > 500_000:
+                yield pa.RecordBatch.from_pydict({"a": np.concatenate(firsts), "b": np.concatenate(seconds)})
+                firsts, seconds, held = [], [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict({"a": np.concatenate(firsts), "b": np.concatenate(seconds)})
 
 
 def _verify(n: int, t: float):
@@ -259,14 +296,14 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text IS NOT NULL")
     found = materialize(_sets(rows, n), "ngram-sets")
     members = found.where("kind = 0").select("doc_id", F.col("a").alias("th"), F.col("b").alias("sid"), F.col("n").alias("size"))
-    counts = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-    frequency = np.zeros(SLOTS, np.float32)
-    frequency[counts["a"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float32)
-    total = max(float(members.count()), 1.0)
-    # log of the share of documents: adding them up estimates how many share a word
-    frequency = np.log((frequency + 0.5) / (total + 1.0)).astype(np.float32)
-    keys = _keys(rows.select("text"), spark.sparkContext.broadcast(frequency), n, t)
-    raw = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_run_pairs, "a bigint, b bigint")
+    counts = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    totals = members.agg(F.count("*").alias("m"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
+    frequency = np.zeros(SLOTS)
+    frequency[counts["a"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
+    sent = spark.sparkContext.broadcast(rarity_table(frequency, totals.m))
+    keys = _keys(found.where("kind = 0").select(F.col("b").alias("sid"), F.col("n").alias("size"), "g"), sent, t)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.s // PART_GRAMS))
+    raw = keys.repartition(parts, "key").mapInArrow(_run_pairs, "a bigint, b bigint")
     candidates = materialize(raw.distinct(), "ngram-candidates")
     # cells: pairs are gathered by the least neighbour, large gatherings are cut into squares
     both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -45,8 +45,10 @@ from spindrift.llm.common import WORD, WordHasher, column, materialize, mix64, p
 
 N, THRESHOLD = 2, 0.8
 #: Slots of the table of document frequencies (a fixed 2 MB for the tasks), the ratio of
-#: a band's bounds, places of a sketch per n-gram of the lower bound, pairs a verify cell.
-SLOTS, RATIO, SPREAD, CELL_PAIRS = 1 << 18, 2.0, 0.9, 40_000
+#: a band's bounds, pairs of a verify cell; places of a sketch per n-gram of the lower bound.
+SLOTS, RATIO, CELL_PAIRS = 1 << 18, 2.0, 40_000
+#: The fewer places, the more n-grams a word holds and the rarer it is; small sets need more.
+SPREAD, SMALL_SPREAD, SMALL_BAND = 0.5, 0.9, 6
 #: n-grams whose keys (about half as many) one task holds at a time.
 PART_GRAMS = 6_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +106,7 @@ def sketch_keys(grams: np.ndarray, size: int, rarity: np.ndarray, t: float) -> l
     wide = grams.astype(np.uint64)
     tail = wide << np.uint64(11) | np.minimum(surprise, np.uint64(2047))
     for band, d in bands(size, t):
-        count = min(int(np.ceil(SPREAD * RATIO**band)) + 1, 1 << 21)
+        count = min(int(np.ceil((SPREAD if band >= SMALL_BAND else SMALL_SPREAD) * RATIO**band)) + 1, 1 << 21)
         v = np.sort((wide % np.uint64(count)) << np.uint64(43) | tail)
         place = v >> np.uint64(43)
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -304,7 +306,9 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     keys = _keys(found.where("kind = 0").select(F.col("b").alias("sid"), F.col("n").alias("size"), "g"), sent, t)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.s // PART_GRAMS))
     raw = keys.repartition(parts, "key").mapInArrow(_run_pairs, "a bigint, b bigint")
-    candidates = materialize(raw.distinct(), "ngram-candidates")
+    sizes = members.groupBy("sid").agg(F.first("size").alias("size"))
+    sized = raw.distinct().join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("nb")), "b")
+    candidates = materialize(sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - 1e-9).select("a", "b"), "ngram-candidates")
     # cells: pairs are gathered by the least neighbour, large gatherings are cut into squares
     both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l"))
@@ -345,6 +349,54 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> Dat
     return every.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("doc_id_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("doc_id_b"), "jaccard")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): connected components of the pairs (a, b); the root is the least node.
+
+    Alternating stars: every node hands its larger neighbours to the least node it knows,
+    then its smaller ones, until nothing moves. Edges never grow in number, and each
+    round is a written table.
+    """
+    edges = materialize(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-edges")
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = materialize(large, "component-large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = materialize(small.where("u != v").distinct(), "component-edges")
+        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if tuple(now) == mark:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = tuple(now)
+
+
+def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, columns unchanged.
+
+    Groups are the connected components of the join. The document with the least doc_id
+    stays (NULL last; ties by the hash of the text; of equal rows one).
+    """
+    members, pairs = similar_sets(docs, n, t)
+    found = components(pairs.select("a", "b"))
+    rooted = members.join(found, members.sid == found.node, "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
+    rows = rooted.groupBy("root", "doc_id", "th").agg(F.count("*").alias("m"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
+    first = rows.groupBy("root").agg(F.min(order).alias("f"), F.sum("m").alias("size")).where("size > 1").select("root", "f")
+    judged = rows.join(first, "root").select("doc_id", "th", "m", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))).alias("first"))
+    judged = materialize(judged.where("NOT first OR m > 1").withColumnsRenamed({"doc_id": "__d", "th": "__h"}), "ngram-judged")
+    text = F.xxhash64(column(docs, "text", "string"))
+    same = (column(docs, "doc_id", "bigint").eqNullSafe(F.col("__d"))) & (text == F.col("__h")) & column(docs, "text", "string").isNotNull()
+    kept = docs.join(judged.select("__d", "__h"), same, "left_anti")
+    repeated = judged.where("first")
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(repeated.select("__d", "__h"), same, "left_semi").withColumns({"__d": column(docs, "doc_id", "bigint"), "__h": text})
+    return kept.unionByName(again.dropDuplicates(["__d", "__h"]).drop("__d", "__h"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 

@@ -6,20 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _hundredths(n: Column, unit: int) -> Column:
+    """n / unit with two decimals, rounded half up in whole numbers."""
+    c = F.floor((n.cast("decimal(38,0)") * 100 + unit // 2) / F.lit(unit).cast("decimal(20,0)")).cast("bigint")
+    return F.concat(F.floor(c / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+
+
 def format_bytes(n: Column) -> Column:
     """``0 B`` to ``1.00 GB``, in steps of 1024; GB is the largest unit."""
-    out = F.when(n < 1 << 10, F.format_string("%d B", n))
+    out = F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in ((20, "KB"), (30, "MB")):
-        out = out.when(n < 1 << power, F.format_string(f"%.2f {unit}", n / F.lit(float(1 << (power - 10)))))
-    return out.when(n.isNotNull(), F.format_string("%.2f GB", n / F.lit(float(1 << 30))))
+        out = out.when(n < 1 << power, F.concat(_hundredths(n, 1 << (power - 10)), F.lit(f" {unit}")))
+    return out.when(n.isNotNull(), F.concat(_hundredths(n, 1 << 30), F.lit(" GB")))
 
 
 def format_ns(ns: Column) -> Column:
     """``999 ms`` below a second (whole milliseconds), else ``1.00 s``; ``N/A`` for NULL."""
     return (
         F.when(ns.isNull(), F.lit("N/A"))
-        .when(F.expr("true") & (ns < 1_000_000_000), F.format_string("%d ms", F.floor(ns / F.lit(1e6)).cast("bigint")))
-        .otherwise(F.format_string("%.2f s", ns / F.lit(1e9)))
+        .when(ns < 1_000_000_000, F.concat(F.floor(ns / 1_000_000).cast("bigint").cast("string"), F.lit(" ms")))
+        .otherwise(F.concat(_hundredths(ns, 1_000_000_000), F.lit(" s")))
     )
 
 

@@ -409,13 +409,13 @@ def quota_ledger(spark: SparkSession, d: str) -> DataFrame:
 # ---- formats and reports --------------------------------------------------------------------
 
 
-@register("SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0::DOUBLE) ELSE printf('%.2f GB', b / 1073741824.0::DOUBLE) END AS formatted FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * l_quantity AS BIGINT) * l_linenumber * l_partkey + l_linenumber AS b FROM lineitem)")
+@register("SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN (((b)::HUGEINT * 100 + 512) // 1024 // 100) || '.' || lpad((((b)::HUGEINT * 100 + 512) // 1024 % 100)::VARCHAR, 2, '0') || ' KB' WHEN b < 1073741824 THEN (((b)::HUGEINT * 100 + 524288) // 1048576 // 100) || '.' || lpad((((b)::HUGEINT * 100 + 524288) // 1048576 % 100)::VARCHAR, 2, '0') || ' MB' ELSE (((b)::HUGEINT * 100 + 536870912) // 1073741824 // 100) || '.' || lpad((((b)::HUGEINT * 100 + 536870912) // 1073741824 % 100)::VARCHAR, 2, '0') || ' GB' END AS formatted FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * l_quantity) AS BIGINT) * l_linenumber * l_partkey + l_linenumber AS b FROM lineitem)")
 def format_bytes(spark: SparkSession, d: str) -> DataFrame:
-    size = F.round(F.col("l_extendedprice") * F.col("l_quantity")).cast("bigint") * F.col("l_linenumber") * F.col("l_partkey") + F.col("l_linenumber")
+    size = F.floor(F.col("l_extendedprice") * F.col("l_quantity")).cast("bigint") * F.col("l_linenumber") * F.col("l_partkey") + F.col("l_linenumber")
     return web.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", formats.format_bytes(size).alias("formatted"))
 
 
-@register(f"WITH {_LOG} SELECT seq, CASE WHEN ns IS NULL THEN 'N/A' WHEN ns < 1000000000 THEN (ns // 1000000) || ' ms' ELSE printf('%.2f s', ns / 1e9::DOUBLE) END AS formatted FROM (SELECT seq, CASE WHEN event = 'drop' THEN NULL ELSE duration_ns * 37 END AS ns FROM log)")
+@register(f"WITH {_LOG} SELECT seq, CASE WHEN ns IS NULL THEN 'N/A' WHEN ns < 1000000000 THEN (ns // 1000000) || ' ms' ELSE (((ns)::HUGEINT * 100 + 500000000) // 1000000000 // 100) || '.' || lpad((((ns)::HUGEINT * 100 + 500000000) // 1000000000 % 100)::VARCHAR, 2, '0') || ' s' END AS formatted FROM (SELECT seq, CASE WHEN event = 'drop' THEN NULL ELSE duration_ns * 37 END AS ns FROM log)")
 def format_time(spark: SparkSession, d: str) -> DataFrame:
     ns = F.when(F.col("event") != "drop", F.col("duration_ns") * 37)
     return _log(spark, d).select("seq", formats.format_ns(ns).alias("formatted"))

@@ -17,28 +17,30 @@ ACTIONS = ("continue", "retry", "drop", "return", "error")
 
 @dataclass(frozen=True)
 class Step:
-    """A named step; ``when`` lists (condition, action) pairs, the first that holds counts."""
+    """A named step; ``when`` lists (condition, action) pairs on requests, ``when_response`` on
+    responses. The first condition that holds counts."""
 
     name: str
     when: list[tuple[Column, str]] = field(default_factory=list)
     delay_ms: int = 0
+    when_response: list[tuple[Column, str]] = field(default_factory=list)
 
-    def action(self) -> Column:
+    def action(self, response: bool = False) -> Column:
         out = F.lit("continue")
-        for condition, action in reversed(self.when):
+        for condition, action in reversed(self.when_response if response else self.when):
             if action not in ACTIONS:
                 raise ValueError(f"{action} is no action")
             out = F.when(condition, F.lit(action)).otherwise(out)
         return out
 
 
-def run_chain(rows: DataFrame, steps: list[Step], reverse: bool = False) -> DataFrame:
+def run_chain(rows: DataFrame, steps: list[Step], reverse: bool = False, response: bool = False) -> DataFrame:
     """Adds ``action``, ``decided_by`` (NULL if all continue), ``delay_ms`` and ``trace``, the
     steps that ran. Requests run in the order of registration, responses in reverse."""
     order = list(reversed(steps)) if reverse else list(steps)
     out = rows
     for i, step in enumerate(order):
-        out = out.withColumn(f"__a{i}", step.action())
+        out = out.withColumn(f"__a{i}", step.action(response))
     action, by, delay = F.lit("continue"), F.lit(None).cast("string"), F.lit(0).cast("bigint")
     trace = F.lit(",".join(s.name for s in order))
     for i in range(len(order) - 1, -1, -1):

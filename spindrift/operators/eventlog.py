@@ -71,6 +71,16 @@ def request_times(log: DataFrame) -> DataFrame:
     return timed.groupBy("url").agg(F.max_by("duration_ns", F.struct("ts", "seq")).alias("duration_ns"))
 
 
+def request_time(log: DataFrame, url: str) -> DataFrame:
+    """The last time of one URL: one row, or none."""
+    return request_times(log.where(F.col("url") == url))
+
+
+def since(log: DataFrame, seq: int) -> DataFrame:
+    """The log after ``seq``: times and counters start afresh."""
+    return log.where(F.col("seq") > seq)
+
+
 def time_summary(times: DataFrame) -> DataFrame:
     """count, average (whole nanoseconds), fastest and slowest; NULL where there is nothing."""
     return times.agg(

@@ -143,6 +143,17 @@ def quota_step(state: tuple[int, dict[str, int]], total: int, op: str, component
     return (max(used - back, 0), {c: n for c, n in held.items() if c != component}), True
 
 
+def available(ledger: DataFrame, total: int) -> DataFrame:
+    """One row: what is left after the last command of a ledger."""
+    return ledger.agg(F.coalesce(F.max_by("available", "seq"), F.lit(total)).alias("available"))
+
+
+def allocations(ledger: DataFrame) -> DataFrame:
+    """(component, amount) held after the last command that changed each component."""
+    last = ledger.where("ok").groupBy("component").agg(F.max_by(F.struct("op", "amount"), "seq").alias("x"))
+    return last.where("x.op = 'allocate'").select("component", F.col("x.amount").alias("amount"))
+
+
 def quota_ledger(commands: DataFrame, total: int) -> DataFrame:
     """(seq, op, component, amount, ok, available) of a command log in the order of seq."""
     ordered = commands.select("seq", "op", "component", F.col("amount").cast("bigint").alias("amount")).repartition(1).sortWithinPartitions("seq")

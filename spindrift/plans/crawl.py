@@ -111,19 +111,29 @@ class Crawl:
                 break
             decided = run_chain(admitted, list(self.steps))
             go = decided.where("action = 'continue'").select("id")
-            fetched = self.fetch(go)
-            answered = materialize(fetched.where("status IS NOT NULL").select("id").distinct(), "crawl-answered")
+            early = decided.where("action = 'return'").select("id")
+            arrived = materialize(self.fetch(go).where("status IS NOT NULL").select("id").distinct(), "crawl-arrived")
+            # the response chain judges what was fetched and the early responses alike
+            responses = run_chain(self.fetch(arrived.unionByName(early)), list(self.steps), reverse=True, response=True)
+            judged = materialize(responses.select("id", "action").distinct(), "crawl-judged")
+            answered = judged.where("action = 'continue'").select("id")
             pages = self.fetch(answered)
             found, requests = self.parse(pages)
             found = materialize(run_items(found, list(self.pipelines)) if self.pipelines else found.withColumns({"dropped_by": F.lit(None).cast("string"), "drop_kind": F.lit(None).cast("string")}), "crawl-items")
             requests = materialize(requests.select("id"), "crawl-requests")
-            again = decided.where("action = 'retry'").select("id")
+            again = decided.where("action = 'retry'").select("id").unionByName(judged.where("action = 'retry'").select("id"))
 
             def event(df: DataFrame, name: str, at: int = depth) -> DataFrame:
                 return df.select(F.lit(at).alias("round"), F.lit(name).alias("event"), "id")
 
-            new = event(answered, "fetch_ok").unionByName(event(go.join(answered, "id", "left_anti"), "fetch_failed")).unionByName(event(again, "retry"))
-            new = new.unionByName(event(decided.where("action = 'drop'"), "drop")).unionByName(event(requests, "enqueue_ok")).unionByName(event(answered, "parse_ok"))
+            parts = {
+                "fetch_ok": arrived, "fetch_failed": go.join(arrived, "id", "left_anti"), "early_response": early, "retry": again, "parse_ok": answered, "enqueue_ok": requests,
+                "drop": decided.where("action = 'drop'").select("id").unionByName(judged.where("action = 'drop'").select("id")),
+                "middleware_error": decided.where("action = 'error'").select("id").unionByName(judged.where("action = 'error'").select("id")),
+            }
+            new = None
+            for name, rows in parts.items():
+                new = event(rows, name) if new is None else new.unionByName(event(rows, name))
             log = log.unionByName(materialize(new, "crawl-log"))
             visited = materialize(visited.unionByName(answered.withColumn("depth", F.lit(depth))), "crawl-visited")
             items = found if items is None else items.unionByName(found)

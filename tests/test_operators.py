@@ -8,7 +8,7 @@ from spindrift.operators import chains, eventlog, folds, frontier
 from spindrift.operators.chains import Pipeline, Step
 from spindrift.plans import crawl, report
 from spindrift.plans.crawl import ConfigurationError, CrawlBuilder, page_crawl
-from spindrift.sources import snapshots, web
+from spindrift.sources import fetchers, sinks, snapshots, web
 
 
 @pytest.mark.parametrize(
@@ -131,3 +131,40 @@ def test_llm_is_not_needed():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_responses_are_judged(spark, data):
+    """Early responses aren't sent; dropped responses stay counted but aren't visited."""
+    step = Step("s", [(F.col("id") == 0, "return")], when_response=[(F.col("id") % 5 == 2, "drop")])
+    result = page_crawl(web.read(spark, data, "pages")).add_middleware(step).max_rounds(8).build().run(spark, spark.createDataFrame([(0,)], "id long"))
+    events = {r.event: r.n for r in result.log.groupBy("event").agg(F.count("*").alias("n")).collect()}
+    ids = {r.id for r in result.visited.collect()}
+    assert events["early_response"] == 1 and 0 in ids and all(i % 5 != 2 for i in ids)
+    assert events["fetch_ok"] == len(ids) - 1 + events["drop"]
+
+
+def test_python_adapters(spark, tmp_path):
+    def get(url):
+        if "bad" in url:
+            raise OSError("no route")
+        return 200, f"<{url}>"
+
+    rows = spark.createDataFrame([(1, "http://a/x"), (2, "http://bad/y")], "id long, url string")
+    got = fetchers.fetch_with(rows, get, 2).orderBy("id").collect()
+    assert [(r.status, r.body, r.error) for r in got] == [(200, "<http://a/x>", None), (None, None, "OSError: no route")]
+    parse = lambda url, body: ([body], [url + "/1", url + "/2"])
+    responses = spark.createDataFrame([("u", "b")], "url string, body string")
+    items, requests = fetchers.parse_with(responses, parse)
+    assert [r.value for r in items.collect()] == ["b"] and sorted(r.value for r in requests.collect()) == ["u/1", "u/2"]
+    spark.udtf.register("parse_page", fetchers.parser(parse))
+    responses.createOrReplaceTempView("responses")
+    assert spark.sql("SELECT kind, value FROM responses, LATERAL parse_page(url, body)").count() == 3
+    for kind in ("parquet", "json", "csv", "orc", "text"):
+        sinks.write(items, f"file://{tmp_path}/{kind}", kind)
+        assert spark.read.format(kind).load(f"file://{tmp_path}/{kind}").count() == 1
+
+
+def test_ledger_reads(spark):
+    rows = spark.createDataFrame([(1, "allocate", "a", 30), (2, "allocate", "b", 20), (3, "release", "a", None)], "seq long, op string, component string, amount long")
+    ledger = folds.quota_ledger(rows, 100)
+    assert folds.available(ledger, 100).first()[0] == 80 and [tuple(r) for r in folds.allocations(ledger).collect()] == [("b", 20)]

@@ -53,25 +53,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100, visited: Data
     links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     links = materialize(links, "bfs-edges")
     new = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(first_depth)), "bfs-round")
-    rounds = [new] if visited is None else [visited, new]
+    found = _Parts([new] if visited is None else [visited, new], "bfs-visited")
     for depth in range(first_depth + 1, first_depth + max_rounds + 1):
-        seen = rounds[0].select("id")
-        for r in rounds[1:]:
-            seen = seen.unionByName(r.select("id"))
         offered = new.join(links, new.id == links.src).select(F.col("dst").alias("id")).distinct()
-        new = materialize(offered.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "bfs-round")
+        new = materialize(offered.join(found.whole().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "bfs-round")
         if new.isEmpty():
             break
-        rounds.append(new)
-        if len(rounds) > 8:  # few files to read, however many rounds
-            merged = rounds[0]
-            for r in rounds[1:]:
-                merged = merged.unionByName(r)
-            rounds = [materialize(merged, "bfs-visited")]
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+        found.add(new)
+    return found.whole()
 
 
 @dataclass(frozen=True)
@@ -97,56 +86,76 @@ class Crawl:
 
     def run(self, spark: SparkSession, seeds: DataFrame, resume: bool = False) -> CrawlResult:
         """Crawl from ``seeds`` (id), or go on from the checkpoint if there is one and ``resume``."""
-        none = spark.createDataFrame([], "id bigint, depth int")
-        visited, items, log, depth = none, None, None, 0
+        visited = _Parts([spark.createDataFrame([], "id bigint, depth int")], "crawl-visited")
+        items = _Parts([], "crawl-items")
         frontier = materialize(seeds.select(F.col("id").cast("bigint").alias("id")), "crawl-frontier")
-        log = frontier.select(F.lit(0).alias("round"), F.lit("enqueue_ok").alias("event"), "id")
+        log = _Parts([frontier.select(F.lit(0).alias("round"), F.lit("enqueue_ok").alias("event"), "id")], "crawl-log")
+        depth = 0
         saved = snapshots.load(spark, self.checkpoint_path) if resume and self.checkpoint_path else None
         if saved is not None:
-            visited, frontier, items, log, depth = saved["visited"], saved["frontier"], saved["items"], saved["log"], saved["round"]
+            visited, items, log = _Parts([saved["visited"]], "crawl-visited"), _Parts([saved["items"]], "crawl-items"), _Parts([saved["log"]], "crawl-log")
+            frontier, depth = saved["frontier"], saved["round"]
+
+        def event(rows: DataFrame, name: str) -> DataFrame:
+            return rows.select(F.lit(depth).alias("round"), F.lit(name).alias("event"), "id")
+
         for _ in range(self.config.max_rounds):
-            admitted = materialize(frontier.join(visited.select("id"), "id", "left_anti").distinct(), "crawl-admitted")
+            admitted = materialize(frontier.join(visited.whole().select("id"), "id", "left_anti").distinct(), "crawl-admitted")
             if admitted.isEmpty():
                 frontier = admitted
                 break
             decided = run_chain(admitted, list(self.steps))
-            go = decided.where("action = 'continue'").select("id")
-            early = decided.where("action = 'return'").select("id")
-            arrived = materialize(self.fetch(go).where("status IS NOT NULL").select("id").distinct(), "crawl-arrived")
+            asked = decided.where("action IN ('continue', 'return')").select("id", (F.col("action") == "return").alias("early"))
             # the response chain judges what was fetched and the early responses alike
-            responses = run_chain(self.fetch(arrived.unionByName(early)), list(self.steps), reverse=True, response=True)
-            judged = materialize(responses.select("id", "action").distinct(), "crawl-judged")
-            answered = judged.where("action = 'continue'").select("id")
+            fetched = self.fetch(asked).withColumn("arrived", F.col("early") | F.col("status").isNotNull())
+            judged = run_chain(fetched, list(self.steps), reverse=True, response=True)
+            outcome = F.when(F.col("arrived"), F.col("action")).otherwise("failed")
+            done = materialize(judged.select("id", "early", outcome.alias("outcome")).distinct(), "crawl-outcomes")
+            answered = done.where("outcome = 'continue'").select("id")
             pages = self.fetch(answered)
             found, requests = self.parse(pages)
-            found = materialize(run_items(found, list(self.pipelines)) if self.pipelines else found.withColumns({"dropped_by": F.lit(None).cast("string"), "drop_kind": F.lit(None).cast("string")}), "crawl-items")
+            free = {"dropped_by": F.lit(None).cast("string"), "drop_kind": F.lit(None).cast("string")}
+            items.add(materialize(run_items(found, list(self.pipelines)) if self.pipelines else found.withColumns(free), "crawl-items"))
             requests = materialize(requests.select("id"), "crawl-requests")
-            again = decided.where("action = 'retry'").select("id").unionByName(judged.where("action = 'retry'").select("id"))
-
-            def event(df: DataFrame, name: str, at: int = depth) -> DataFrame:
-                return df.select(F.lit(at).alias("round"), F.lit(name).alias("event"), "id")
-
-            parts = {
-                "fetch_ok": arrived, "fetch_failed": go.join(arrived, "id", "left_anti"), "early_response": early, "retry": again, "parse_ok": answered, "enqueue_ok": requests,
-                "drop": decided.where("action = 'drop'").select("id").unionByName(judged.where("action = 'drop'").select("id")),
-                "middleware_error": decided.where("action = 'error'").select("id").unionByName(judged.where("action = 'error'").select("id")),
-            }
-            new = None
-            for name, rows in parts.items():
-                new = event(rows, name) if new is None else new.unionByName(event(rows, name))
-            log = log.unionByName(materialize(new, "crawl-log"))
-            visited = materialize(visited.unionByName(answered.withColumn("depth", F.lit(depth))), "crawl-visited")
-            items = found if items is None else items.unionByName(found)
-            frontier = materialize(requests.unionByName(again), "crawl-frontier")
+            again = decided.where("action = 'retry'").select("id").unionByName(done.where("outcome = 'retry'").select("id"))
+            # effects of requests that got no response, of responses, and of parses
+            unsent = decided.where("action IN ('retry', 'drop', 'error')").select("id", F.when(F.col("action") == "error", "middleware_error").otherwise(F.col("action")).alias("event"))
+            kinds = F.array_compact(F.array(
+                F.when(F.col("early"), "early_response").when(F.col("outcome") == "failed", "fetch_failed").otherwise("fetch_ok"),
+                F.when(F.col("outcome") == "continue", "parse_ok").when(F.col("outcome").isin("retry", "drop"), F.col("outcome")).when(F.col("outcome") == "error", "middleware_error"),
+            ))
+            effects = unsent.unionByName(done.select("id", F.explode(kinds).alias("event")))
+            log.add(effects.select(F.lit(depth).alias("round"), "event", "id").unionByName(event(requests, "enqueue_ok")))
+            visited.add(answered.withColumn("depth", F.lit(depth)))
+            frontier = requests.unionByName(again)
             depth += 1
             if self.checkpoint_path and self.checkpoint_interval and depth % self.checkpoint_interval == 0:
-                snapshots.save(spark, self.checkpoint_path, {"visited": visited, "frontier": frontier, "items": items, "log": log}, depth)
-        if items is None:
-            items = spark.createDataFrame([], "page_id bigint, title string, dropped_by string, drop_kind string")
-        frontier = frontier.join(visited.select("id"), "id", "left_anti")
+                snapshots.save(spark, self.checkpoint_path, {"visited": visited.whole(), "frontier": frontier, "items": items.whole(), "log": log.whole()}, depth)
+        if not items.parts:
+            items.add(spark.createDataFrame([], "page_id bigint, title string, dropped_by string, drop_kind string"))
+        frontier = frontier.join(visited.whole().select("id"), "id", "left_anti")
         if self.checkpoint_path:
-            snapshots.save(spark, self.checkpoint_path, {"visited": visited, "frontier": frontier, "items": items, "log": log}, depth)
-        return CrawlResult(visited, frontier, items, log, depth)
+            snapshots.save(spark, self.checkpoint_path, {"visited": visited.whole(), "frontier": frontier, "items": items.whole(), "log": log.whole()}, depth)
+        return CrawlResult(visited.whole(), frontier, items.whole(), log.whole(), depth)
+
+
+class _Parts:
+    """A table that grows by a part a round; parts are merged to one written table now and
+    then, so that neither plans nor the number of files grow with the rounds."""
+
+    def __init__(self, parts: list[DataFrame], name: str, most: int = 8) -> None:
+        self.parts, self.name, self.most = list(parts), name, most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            self.parts = [materialize(self.whole(), self.name)]
+
+    def whole(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
 
 
 class CrawlBuilder:

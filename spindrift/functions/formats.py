@@ -29,6 +29,13 @@ def format_ns(ns: Column) -> Column:
     )
 
 
+def format_elapsed(seconds: Column) -> Column:
+    """``1d 02:03:04`` for a duration in seconds; ``N/A`` for NULL."""
+    whole = F.floor(seconds).cast("bigint")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(whole % 86_400 / 3600).cast("bigint"), F.floor(whole % 3600 / 60).cast("bigint"), whole % 60)
+    return F.when(seconds.isNull(), "N/A").when(whole < 86_400, clock).otherwise(F.concat(F.floor(whole / 86_400).cast("string"), F.lit("d "), clock))
+
+
 def rate(n: Column, seconds: Column) -> Column:
     """n per second; 0 if no time has passed."""
     return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))

@@ -97,6 +97,15 @@ def pipeline_times(processed: DataFrame) -> DataFrame:
     return processed.groupBy("pipeline").agg(F.count("*").alias("n"), F.sum("duration_ns").cast("bigint").alias("total_ns"))
 
 
+METRICS = {"requests": ("fetch_ok", "fetch_failed"), "responses": ANSWERED, "items": ("parse_ok",)}
+
+
+def rate_marks(log: DataFrame) -> DataFrame:
+    """(metric, ts, seq): the events that the moving averages of requests, responses and items follow."""
+    metrics = F.array_compact(F.array(*[F.when(F.col("event").isin(*events), F.lit(name)) for name, events in METRICS.items()]))
+    return log.select(F.explode(metrics).alias("metric"), "ts", "seq")
+
+
 def elapsed(log: DataFrame) -> DataFrame:
     """One row: the seconds from the first to the last event."""
     return log.agg((F.max("ts").cast("double") - F.min("ts").cast("double")).alias("seconds"))

@@ -37,7 +37,7 @@ def _fields() -> list[tuple[str, Column]]:
         ("Requests retried", F.col("requests_retried")), ("Requests dropped", F.col("requests_dropped")), ("Responses received", F.col("responses_received")), ("From cache", F.col("responses_from_cache")),
         ("Downloaded", formats.format_bytes(F.col("total_bytes_downloaded"))), ("Items scraped", F.col("items_scraped")), ("Items processed", F.col("items_processed")), ("Items dropped", F.col("items_dropped_by_pipeline")),
         ("Average request", formats.format_ns(F.col("avg_request_ns"))), ("Fastest request", formats.format_ns(F.col("fastest_request_ns"))), ("Slowest request", formats.format_ns(F.col("slowest_request_ns"))),
-        ("Average parse", formats.format_ns(F.col("avg_parse_ns"))), ("Statuses", F.col("statuses")),
+        ("Average parse", formats.format_ns(F.col("avg_parse_ns"))), ("Statuses", F.col("statuses")), ("Elapsed", formats.format_elapsed(F.col("seconds"))),
         ("Requests a second, overall", F.format_string("%.2f", F.col("requests_per_second"))), ("Requests a second, whole seconds", F.format_string("%.2f", formats.whole_second_rate(F.col("requests_sent"), F.col("seconds")))),
     ]
 

@@ -388,6 +388,24 @@ def rate_ema(spark: SparkSession, d: str) -> DataFrame:
     return folds.rate_average(_log(spark, d).withColumnRenamed("host", "metric")).withColumn("rate", F.round("rate", 9))
 
 
+@register(f"""WITH RECURSIVE {_LOG}, m AS (SELECT 'requests' AS metric, ts, seq FROM log WHERE event IN ('fetch_ok', 'fetch_failed')
+  UNION ALL SELECT 'responses', ts, seq FROM log WHERE event IN ('fetch_ok', 'early_response') UNION ALL SELECT 'items', ts, seq FROM log WHERE event = 'parse_ok'),
+o AS (SELECT metric, epoch_us(ts) AS us, row_number() OVER (PARTITION BY metric ORDER BY ts, seq) AS r FROM m),
+f AS (SELECT metric, r, 0.0::DOUBLE AS rate, us AS since, 1 AS n FROM o WHERE r = 1 UNION ALL
+  SELECT o.metric, o.r, CASE WHEN (o.us - f.since) / 1e6 >= 1 THEN 0.2::DOUBLE * ((f.n + 1) / ((o.us - f.since) / 1e6)) + 0.8::DOUBLE * f.rate ELSE f.rate END,
+    CASE WHEN (o.us - f.since) / 1e6 >= 1 THEN o.us ELSE f.since END, CASE WHEN (o.us - f.since) / 1e6 >= 1 THEN 0 ELSE f.n + 1 END
+  FROM f JOIN o ON o.metric = f.metric AND o.r = f.r + 1)
+SELECT metric, round(arg_max(rate, r), 9) AS rate, CAST(arg_max(n, r) AS BIGINT) AS pending FROM f GROUP BY metric""")
+def stats_rate_ema(spark: SparkSession, d: str) -> DataFrame:
+    """The gated moving averages of requests, responses and items."""
+    return folds.rate_average(eventlog.rate_marks(_log(spark, d))).withColumn("rate", F.round("rate", 9))
+
+
+@register(f"WITH {_LOG}, e AS (SELECT CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS BIGINT) AS s FROM log) SELECT (CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' ELSE '' END) || printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS elapsed FROM e")
+def format_elapsed(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.elapsed(_log(spark, d)).select(formats.format_elapsed(F.col("seconds")).alias("elapsed"))
+
+
 _TICKS = _LOG + """, h AS (SELECT date_trunc('day', ts) AS tick, host, sum(duration_ns) // count(*) AS ns, avg(CASE WHEN event = 'fetch_failed' THEN 1.0 ELSE 0.0 END) AS e FROM log WHERE event IN ('fetch_ok', 'fetch_failed') GROUP BY ALL),
 t AS (SELECT tick, CAST((sum(ns) // count(*)) // 1000000 AS BIGINT) AS mean_ms, round(avg(e), 9) AS error_rate, row_number() OVER (ORDER BY tick) AS r FROM h GROUP BY tick)"""
 

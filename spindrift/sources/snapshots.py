@@ -50,3 +50,8 @@ def load(spark: SparkSession, path: str) -> dict | None:
     except (ValueError, KeyError):
         return None
     return found | {"round": manifest["round"], "extra": manifest["extra"]}
+
+
+def match_states(names: list[str], states: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """(states of the pipelines by name, names of saved states that no pipeline has)."""
+    return {n: states[n] for n in names if n in states}, sorted(set(states) - set(names))

@@ -12,11 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spindrift.scratch import scratch_path
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The events table as a stream; ``path`` is its file or folder."""
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The events table as a stream; ``path`` is its file or folder. The number of files a
+    micro-batch takes bounds what is in flight."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", name).load(folder)
+    reader = spark.readStream.schema(schema).format("parquet").option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", name).load(folder)
 
 
 def hourly_counts(log: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import WORD, WordHasher, column, materialize, mix64, parts_of, table
+from spindrift.llm.common import WORD, WordHasher, column, materialize, mix64, parts_of, release, table
 
 N, THRESHOLD = 2, 0.8
 #: Slots of the table of document frequencies (a fixed 2 MB for the tasks), the ratio of
@@ -51,6 +51,8 @@ SLOTS, RATIO, CELL_PAIRS = 1 << 18, 2.0, 40_000
 SPREAD, SMALL_SPREAD, SMALL_BAND = 0.5, 0.9, 6
 #: n-grams whose keys (about half as many) one task holds at a time.
 PART_GRAMS = 6_000_000
+#: Rows of a table of keys (some 50 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -297,7 +299,7 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     text = column(docs, "text", "string")
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text IS NOT NULL")
     found = materialize(_sets(rows, n), "ngram-sets")
-    members = found.where("kind = 0").select("doc_id", F.col("a").alias("th"), F.col("b").alias("sid"), F.col("n").alias("size"))
+    members = materialize(found.where("kind = 0").select("doc_id", F.col("a").alias("th"), F.col("b").alias("sid"), F.col("n").alias("size")), "ngram-members")
     counts = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
     totals = members.agg(F.count("*").alias("m"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
     frequency = np.zeros(SLOTS)
@@ -309,6 +311,9 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     sizes = members.groupBy("sid").agg(F.first("size").alias("size"))
     sized = raw.distinct().join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("nb")), "b")
     candidates = materialize(sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - 1e-9).select("a", "b"), "ngram-candidates")
+    # the n-grams and the shuffled keys are the largest intermediate results; texts come next
+    del keys, raw, sized
+    release(spark, found)
     # cells: pairs are gathered by the least neighbour, large gatherings are cut into squares
     both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l"))
@@ -318,15 +323,20 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     cells = cells.join(heavy, "l", "left").fillna(1, ["s"])
     cells = materialize(cells.select("a", "b", F.col("l").alias("c0"), F.pmod(F.xxhash64("a"), F.col("s")).alias("c1"), F.pmod(F.xxhash64("b"), F.col("s")).alias("c2")), "ngram-cells")
     needed = cells.select("c0", "c1", "c2", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    one = members.groupBy("sid").agg(F.min("th").alias("th"))
-    places = needed.join(one, "sid").select("c0", "c1", "c2", "th")
-    wanted = places.select("th").distinct()
-    texts = rows.select("th", "text").join(wanted, "th", "left_semi").dropDuplicates(["th"])
-    placed = texts.join(places, "th").select(F.col("c0").alias("p0"), F.col("c1").alias("p1"), F.col("c2").alias("p2"), "text")
+    # one document stands for all of a set, so copies of it don't travel
+    one = members.groupBy("sid").agg(F.min(F.struct("th", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x")).select("sid", F.col("x.th").alias("h"), F.col("x.doc_id").alias("d"))
+    places = materialize(needed.join(one, "sid").select("c0", "c1", "c2", "h", "d"), "ngram-places")
+    stands = (rows.th == F.col("h")) & rows.doc_id.eqNullSafe(F.col("d"))
+    placed = rows.join(small(places), stands).select(F.col("c0").alias("p0"), F.col("c1").alias("p1"), F.col("c2").alias("p2"), "text")
     checked = cells.groupBy("c0", "c1", "c2").cogroup(placed.groupBy("p0", "p1", "p2")).applyInPandas(_drop_key(_verify(n, t)), "a bigint, b bigint, common bigint, jaccard double")
     return members, materialize(checked, "ngram-pairs")
 
 
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of keys, broadcast if it has at most ``rows`` rows; else it is shuffled."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def _drop_key(cell):
     def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         out = cell(pairs, texts)
@@ -389,7 +399,7 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     judged = materialize(judged.where("NOT first OR m > 1").withColumnsRenamed({"doc_id": "__d", "th": "__h"}), "ngram-judged")
     text = F.xxhash64(column(docs, "text", "string"))
     same = (column(docs, "doc_id", "bigint").eqNullSafe(F.col("__d"))) & (text == F.col("__h")) & column(docs, "text", "string").isNotNull()
-    kept = docs.join(judged.select("__d", "__h"), same, "left_anti")
+    kept = docs.join(small(judged.select("__d", "__h")), same, "left_anti")
     repeated = judged.where("first")
     if repeated.isEmpty():
         return kept

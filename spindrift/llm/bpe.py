@@ -41,7 +41,7 @@ from spindrift.llm.common import table, without
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class Bpe:
@@ -95,7 +95,7 @@ class Bpe:
     def _compatible(self, left: int, right: int) -> bool:
         known = self.checked.get((left, right))
         if known is None:
-            if len(self.checked) > 1_000_000:
+            if len(self.checked) > REMEMBERED:
                 self.checked.clear()
             known = self.checked[(left, right)] = self._fits(left, right)
         return known

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHasher:
     """64-bit hashes of words, equal in every process; recent words are remembered."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 250_000) -> None:
         self.known: dict[str, int] = {}
         self.limit = limit
 

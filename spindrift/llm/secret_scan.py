@@ -379,7 +379,7 @@ def train(seed: int = SEED, sentences: int = SENTENCES, steps: int = STEPS) -> C
 class Tagger:
     """Tags token lists; what tokens add to the potentials is remembered (bounded)."""
 
-    def __init__(self, model: Crf, limit: int = 300_000) -> None:
+    def __init__(self, model: Crf, limit: int = 200_000) -> None:
         self.model, self.limit = model, limit
         self._clear()
 

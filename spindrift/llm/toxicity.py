@@ -99,7 +99,7 @@ def segments(scores: list[int]) -> list[tuple[int, int, int]]:
 
 
 class _Scorer:
-    def __init__(self, model: Model, limit: int = 400_000) -> None:
+    def __init__(self, model: Model, limit: int = 250_000) -> None:
         self.model, self.limit, self.known = model, limit, {}
 
     def __call__(self, text: str) -> list[int]:

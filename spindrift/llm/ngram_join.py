@@ -168,7 +168,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _keys(sets: DataFrame, rarity, t: float) -> DataFrame:
-    """(key, sid, before) of every set's sketch words; a set seen again in a task is skipped."""
+    """(key, sid, before, size) of every set's sketch words; a set seen again in a task is skipped."""
 
     def scan(batches):
         seen: set[int] = set()
@@ -177,12 +177,12 @@ def _keys(sets: DataFrame, rarity, t: float) -> DataFrame:
             for sid, size, g in part:
                 if sid in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(sid)
                 for key, before in sketch_keys(np.frombuffer(g, np.uint32), size, rarity.value, t):
                     keys.append(key)
                     befores.append(before)
-                    ids.append((sid, len(key)))
+                    ids.append((sid, size, len(key)))
                     held += len(key)
                 if held > 200_000:
                     yield _key_batch(keys, befores, ids)
@@ -190,30 +190,34 @@ def _keys(sets: DataFrame, rarity, t: float) -> DataFrame:
             if keys:
                 yield _key_batch(keys, befores, ids)
 
-    return sets.mapInArrow(scan, "key bigint, sid bigint, before bigint")
+    return sets.mapInArrow(scan, "key bigint, sid bigint, before bigint, size int")
 
 
-def _key_batch(keys: list[np.ndarray], befores: list[np.ndarray], ids: list[tuple[int, int]]) -> pa.RecordBatch:
-    sid = np.repeat(np.array([i for i, _ in ids], np.int64), [c for _, c in ids])
-    return pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "sid": sid, "before": np.concatenate(befores).view(np.int64)})
+def _key_batch(keys: list[np.ndarray], befores: list[np.ndarray], ids: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    sids, sizes, counts = (np.array(x, np.int64) for x in zip(*ids, strict=True))
+    return pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "sid": np.repeat(sids, counts), "before": np.concatenate(befores).view(np.int64), "size": np.repeat(sizes, counts).astype(np.int32)})
 
 
-def _run_pairs(batches):
-    """Pairs of set ids that share a key of this partition.
+def _pairs_of(t: float):
+    return lambda batches: _run_pairs(batches, t)
+
+
+def _run_pairs(batches, t: float):
+    """Pairs of set ids that share a key of this partition and whose sizes allow Jaccard t.
 
     A pair that also shares a key right before this one, in the common order, is left
     to that key: the first key two sets share always yields the pair.
     """
-    arrays = [[np.asarray(b.column(i)) for i in range(3)] for b in batches]
+    arrays = [[np.asarray(b.column(i)) for i in range(4)] for b in batches]
     if not arrays:
         return
-    key, sid, before = (np.concatenate(x) for x in zip(*arrays, strict=True))
+    key, sid, before, sizes = (np.concatenate(x) for x in zip(*arrays, strict=True))
     del arrays
     order = np.lexsort((sid, key))
-    key, sid, before = key[order], sid[order], before[order].view(np.uint64)
+    key, sid, before, sizes = key[order], sid[order], before[order].view(np.uint64), sizes[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-    key, sid, before = key[new], sid[new], before[new]
+    key, sid, before, sizes = key[new], sid[new], before[new], sizes[new]
     one, two = (before & np.uint64(0xFFFFFFFF)).astype(np.uint32), (before >> np.uint64(32)).astype(np.uint32)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     lengths = np.diff(np.append(starts, len(key)))
@@ -221,6 +225,7 @@ def _run_pairs(batches):
     def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         skip = ((one[i] == one[j]) | (one[i] == two[j])) & (one[i] != 0)
         skip |= ((two[i] == one[j]) | (two[i] == two[j])) & (two[i] != 0)
+        skip |= np.minimum(sizes[i], sizes[j]) < t * np.maximum(sizes[i], sizes[j]) - 1e-9
         return sid[i[~skip]], sid[j[~skip]]
 
     firsts, seconds, held = [], [], 0
@@ -307,12 +312,10 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     sent = spark.sparkContext.broadcast(rarity_table(frequency, totals.m))
     keys = _keys(found.where("kind = 0").select(F.col("b").alias("sid"), F.col("n").alias("size"), "g"), sent, t)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.s // PART_GRAMS))
-    raw = keys.repartition(parts, "key").mapInArrow(_run_pairs, "a bigint, b bigint")
-    sizes = members.groupBy("sid").agg(F.first("size").alias("size"))
-    sized = raw.distinct().join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("nb")), "b")
-    candidates = materialize(sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - 1e-9).select("a", "b"), "ngram-candidates")
+    raw = keys.repartition(parts, "key").mapInArrow(_pairs_of(t), "a bigint, b bigint")
+    candidates = materialize(raw.distinct(), "ngram-candidates")
     # the n-grams and the shuffled keys are the largest intermediate results; texts come next
-    del keys, raw, sized
+    del keys, raw
     release(spark, found)
     # cells: pairs are gathered by the least neighbour, large gatherings are cut into squares
     both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -348,12 +351,15 @@ def _drop_key(cell):
 def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with Jaccard >= t: (doc_id_a, doc_id_b, jaccard), the smaller id first."""
     members, pairs = similar_sets(docs, n, t)
-    left = members.select(F.col("sid").alias("a"), F.col("doc_id").alias("x"))
-    right = members.select(F.col("sid").alias("b"), F.col("doc_id").alias("y"))
-    across = pairs.select("a", "b", "jaccard").join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    several = members.groupBy("sid").agg(F.sort_array(F.collect_list(F.coalesce("doc_id", F.lit(None).cast("bigint")))).alias("ids"), F.count("*").alias("m"), F.count("doc_id").alias("known")).where("m > 1")
-    several = several.withColumn("ids", F.expr("concat(ids, array_repeat(cast(null AS bigint), cast(m - known AS int)))"))
-    within = several.select(F.posexplode("ids").alias("i", "x"), "ids", "m").where("i < m - 1").select("x", F.explode(F.expr("slice(ids, i + 2, cast(m AS int))")).alias("y"), F.lit(1.0).alias("jaccard"))
+    known = F.sort_array(F.collect_list("doc_id"))
+    classes = members.groupBy("sid").agg(known.alias("ids"), F.count("*").cast("int").alias("m"))
+    classes = materialize(classes.select("sid", F.expr("concat(ids, array_repeat(cast(null AS bigint), m - size(ids)))").alias("ids")), "ngram-classes")
+    # pairs of sets travel with lists of documents; pairs of documents are made at the very end
+    left, right = classes.select(F.col("sid").alias("a"), F.col("ids").alias("xs")), classes.select(F.col("sid").alias("b"), F.col("ids").alias("ys"))
+    lists = pairs.select("a", "b", "jaccard").join(left, "a").select("b", "xs", "jaccard").join(right, "b")
+    across = lists.select(F.explode("xs").alias("x"), "ys", "jaccard").select("x", F.explode("ys").alias("y"), "jaccard")
+    several = classes.where("size(ids) > 1")
+    within = several.select(F.posexplode("ids").alias("i", "x"), "ids").where("i < size(ids) - 1").select("x", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("y"), F.lit(1.0).alias("jaccard"))
     every = across.unionByName(within)
     swap = F.col("x").isNull() | (F.col("x") > F.col("y"))
     return every.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("doc_id_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("doc_id_b"), "jaccard")

@@ -43,12 +43,13 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import WORD, WordHasher, column, materialize, mix64, parts_of, release, table
 
-N, THRESHOLD = 2, 0.8
+N, THRESHOLD = 2, 0.75
 #: Slots of the table of document frequencies (a fixed 2 MB for the tasks), the ratio of
 #: a band's bounds, pairs of a verify cell; places of a sketch per n-gram of the lower bound.
 SLOTS, RATIO, CELL_PAIRS = 1 << 18, 2.0, 40_000
 #: The fewer places, the more n-grams a word holds and the rarer it is; small sets need more.
-SPREAD, SMALL_SPREAD, SMALL_BAND = 0.5, 0.9, 6
+#: SPREAD is in units of (1-t)/(1+t): words of a band differ at most 4 such units, so it is above 4.
+SPREAD, SMALL_SPREAD, SMALL_BAND = 4.5, 0.9, 6
 #: n-grams whose keys (about half as many) one task holds at a time.
 PART_GRAMS = 6_000_000
 #: Rows of a table of keys (some 50 bytes each) up to which it is broadcast.
@@ -91,6 +92,12 @@ def bands(size: int, t: float) -> list[tuple[int, int]]:
     return out
 
 
+def places(band: int, t: float) -> int:
+    """Words of a sketch of this band: more than may differ at Jaccard t, up to 2^21."""
+    spread = SPREAD * (1 - t) / (1 + t)
+    return min(int(np.ceil((spread if band >= SMALL_BAND else max(spread, SMALL_SPREAD)) * RATIO**band)) + 1, 1 << 21)
+
+
 def rarity_table(counts: np.ndarray, documents: int) -> np.ndarray:
     """64 times the bits of surprise at an n-gram of each slot, as whole numbers."""
     return np.round(64 * np.log2((documents + 1.0) / (counts + 0.5)).clip(0, 500)).astype(np.uint64)
@@ -108,7 +115,7 @@ def sketch_keys(grams: np.ndarray, size: int, rarity: np.ndarray, t: float) -> l
     wide = grams.astype(np.uint64)
     tail = wide << np.uint64(11) | np.minimum(surprise, np.uint64(2047))
     for band, d in bands(size, t):
-        count = min(int(np.ceil((SPREAD if band >= SMALL_BAND else SMALL_SPREAD) * RATIO**band)) + 1, 1 << 21)
+        count = places(band, t)
         v = np.sort((wide % np.uint64(count)) << np.uint64(43) | tail)
         place = v >> np.uint64(43)
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -125,6 +132,8 @@ def sketch_keys(grams: np.ndarray, size: int, rarity: np.ndarray, t: float) -> l
         if len(key) <= d:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place, assume_unique=True)
             key = np.concatenate([key, np.sort(mix64(mix64(_seed(band) ^ np.uint64(1 << 63)) ^ (empty + np.uint64(7))))])
+            if count <= d:  # only where places() is at its limit: all words may differ, so such sets all meet
+                key = np.concatenate([key, mix64(_seed(band) ^ np.uint64(3 << 62))])
         short = key >> np.uint64(32) | np.uint64(1)
         before = np.zeros(len(key), np.uint64)
         before[1:] = short[:-1]

@@ -204,6 +204,28 @@ def test_sketch_bounds_the_difference():
             assert j < 0.8 or ka & kb
 
 
+def test_join_default_threshold(spark):
+    """The registered threshold holds the near copies of Jaccard 0.75 to 0.8."""
+    r = random.Random(6)
+    docs = []
+    for i in range(30):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(200)]
+        copy = list(words)
+        for at in r.sample(range(0, 200, 2), 13):
+            copy[at] = f"x{r.randint(0, 5000)}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    want = brute_pairs(docs, ngram_join.N, 0.75)
+    assert len(want) == 30 and all(0.75 <= j < 0.8 for _, _, j in want)
+    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id_a, x.doc_id_b, round(x.jaccard, 9)) for x in found) == want
+
+
+@pytest.mark.parametrize("t", [0.5, 0.65, 0.75, 0.8, 0.95])
+def test_sketch_has_more_words_than_differ(t):
+    for size in range(1, 5000):
+        assert all(d < ngram_join.places(band, t) for band, d in ngram_join.bands(size, t))
+
+
 def test_join_odd(spark, odd, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
     got = ngram_join.ngram_jaccard_join(odd.withColumns({"th": F.lit(1), "sid": F.lit(2), "A": F.lit(3)})).collect()

@@ -242,6 +242,23 @@ def test_keep_one(spark, odd, empty):
     assert [x.doc_id for x in ngram_join.keep_one(rows).collect()] == [0]
 
 
+def test_keep_one_default_threshold(spark):
+    """Copies with 5 to 7 % of their words changed, one at a time, fall in the original's group."""
+    r = random.Random(8)
+    docs = []
+    for i in range(8):
+        words = [f"w{r.randint(0, 100_000)}" for _ in range(300)]
+        docs.append((10 * i, " ".join(words)))
+        for k, share in enumerate((0.05, 0.06, 0.07)):
+            copy = list(words)
+            for at in r.sample(range(1, 299, 2), int(300 * share)):
+                copy[at] = f"x{r.randint(0, 100_000)}"
+            docs.append((10 * i + k + 1, " ".join(copy)))
+    assert any(i % 10 == 0 and j == i + 3 and x < 0.8 for i, j, x in brute_pairs(docs, ngram_join.N, 0.7))
+    kept = ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == [10 * i for i in range(8)]
+
+
 # ---- 4 secrets ----------------------------------------------------------------------------
 
 

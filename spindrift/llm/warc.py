@@ -4,7 +4,8 @@ A WARC file that was gzipped as a whole can only be read from its start. The
 normaliser inflates such a stream once, in chunks, and rewrites every record as a
 gzip member of its own, byte for byte, with a sidecar index (``.idx``, one JSON line
 a record) of offsets and lengths; afterwards any record can be read by itself. One
-file is one task: gzip can't be split. Memory is a few chunks, whatever the record.
+file is one task: gzip can't be split. Memory is a few chunks, whatever the block, and
+the longest header, which may have any length after its version line.
 
 Files are written under a name that no other attempt uses, index last, and their
 paths are returned; what a failed attempt left behind is never referred to.
@@ -96,7 +97,7 @@ class Inflated:
             del self.held[:1]
         seen = 0
         while (at := self.held.find(b"\r\n\r\n", seen)) < 0:
-            if len(self.held) > 1 << 20 or not b"WARC/".startswith(bytes(self.held[:5])):
+            if (len(self.held) > 1 << 20 and self.held.find(b"\r\n", 0, 1 << 20) < 0) or not b"WARC/".startswith(bytes(self.held[:5])):
                 raise Malformed("no WARC header")
             seen = max(len(self.held) - 3, 0)
             if not self._more():

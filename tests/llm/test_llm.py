@@ -556,6 +556,16 @@ def test_warc_damage(spark, tmp_path):
     assert warc.normalize(warc.write_monolithic(none, f"file://{tmp_path}/none"), f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_long_url(tmp_path):
+    pages = [(1, "data:" + "x" * (2 << 20), "a"), (2, "u", "b"), (3, "v", "c")]
+    data = b"".join(h + b + b"\r\n\r\n" for h, b in (warc.record(*p) for p in pages))
+    for name, tail in (("whole", b""), ("junk", b"WARC/" + b"x" * (2 << 20))):
+        (tmp_path / f"{name}.warc.gz").write_bytes(gzip.compress(data + tail))
+        rows = list(warc.normalize_file(str(tmp_path / f"{name}.warc.gz"), str(tmp_path / "out"), name))
+        assert [x["status"] for x in rows] == ["ok"] * 3 + ["malformed"] * bool(tail)
+        assert [x["target_uri"] for x in rows[:3]] == [u for _, u, _ in pages]
+
+
 # ---- the pipeline -------------------------------------------------------------------------
 
 

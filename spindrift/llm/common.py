@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.scratch import materialize, release, scratch_path, shared_dir  # noqa: F401
+from spindrift.scratch import discard, materialize, scratch_path, shared_dir  # noqa: F401
 
 #: Word tokens used by the operators that compare or score words.
 WORD = re.compile(r"\w+")
@@ -29,29 +30,45 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path within it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class WordHasher:
     """64-bit hashes of words, equal in every process; recent words are remembered."""
 
     def __init__(self, limit: int = 250_000) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
         self.limit = limit
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            digest = xxhash.xxh3_64_intdigest
-            for word in set(words):
-                if word not in known:
-                    known[word] = digest(word)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -37,21 +36,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing will read again, and let go of the
-    shuffle files of plans that are no longer referred to.
-
-    Spark removes a shuffle's files when the driver's JVM collects its last reference,
-    by default every 30 minutes at least; large intermediate results shouldn't wait so long.
-    """
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        where = jvm.org.apache.hadoop.fs.Path(table._scratch)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of :func:`scratch_path` that nothing will read again."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()

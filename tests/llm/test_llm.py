@@ -162,33 +162,83 @@ def test_bm25_odd(spark, odd, empty):
 # ---- 3 near duplicates --------------------------------------------------------------------
 
 
-def brute_pairs(docs, n, t):
+def brute_sets(docs, n):
     h = WordHasher()
-    sets = [(i, set(ngram_join.gram_set(WORD.findall((x or "").lower()), n, h).tolist())) for i, x in docs]
-    out = []
+    return [(i, frozenset(ngram_join.gram_set(WORD.findall((x or "").lower()), n, h).tolist())) for i, x in docs]
+
+
+def brute_links(docs, n, t):
+    """Jaccard of all pairs of different sets, and (doc_id, class_id, n_links) of every document."""
+    sets = brute_sets(docs, n)
+    pairs, group, links = set(), list(range(len(sets))), [0] * len(sets)
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
-            (i, x), (j, y) = sets[a], sets[b]
+            x, y = sets[a][1], sets[b][1]
             if x and y and len(x & y) / len(x | y) >= t:
-                i, j = sorted((i, j), key=lambda v: (v is None, v or 0))
-                out.append((i, j, round(len(x & y) / len(x | y), 9)))
-    return Counter(out)
+                if x != y:
+                    pairs.add((frozenset((x, y)), round(len(x & y) / len(x | y), 9)))
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                old, new = group[b], group[a]
+                group = [new if g == old else g for g in group]
+    least = defaultdict(lambda: None)
+    for (i, _), g in zip(sets, group, strict=True):
+        if i is not None:
+            least[g] = i if least[g] is None else min(i, least[g])
+    return pairs, Counter((i, least[g], k) for (i, _), g, k in zip(sets, group, links, strict=True))
 
 
-@pytest.mark.parametrize(("n", "t"), [(1, 0.5), (2, 0.8), (3, 0.6), (2, 1.0)])
-def test_join_brute(spark, n, t):
-    r = random.Random(int(10 * n + 100 * t))
+def joined(frame, *args):
+    return Counter((x.doc_id, x.class_id, x.n_links) for x in ngram_join.ngram_jaccard_join(frame, *args).collect())
+
+
+def near_copies(r, groups, most=5):
     docs = []
-    for i in range(60):
+    for i in range(groups):
         words = [f"w{r.randint(0, 400)}" for _ in range(r.choice([1, 2, 3, 5, 9, 20, 60, 150]))]
-        for _ in range(r.choice([1, 1, 2, 5])):
+        for _ in range(r.choice([1, 1, 2, most])):
             copy = list(words)
             for _ in range(int(len(copy) * r.choice([0, 0.02, 0.05, 0.15]) + r.random())):
                 copy[r.randrange(len(copy))] = f"w{r.randint(0, 400)}"
             docs.append((len(docs) if r.random() > 0.03 else None, " ".join(copy)))
-    docs += docs[:5] + [(1000, None), (1001, ""), (1002, "...")]
-    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), n, t).collect()
-    assert Counter((x.doc_id_a, x.doc_id_b, round(x.jaccard, 9)) for x in found) == brute_pairs(docs, n, t)
+    return docs + docs[:5] + [(1000, None), (1001, ""), (1002, "...")]
+
+
+@pytest.mark.parametrize(("n", "t"), [(1, 0.5), (2, 0.8), (3, 0.6), (2, 1.0)])
+def test_join_brute(spark, n, t):
+    docs = near_copies(random.Random(int(10 * n + 100 * t)), 60)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    pairs, rows = brute_links(docs, n, t)
+    assert joined(frame, n, t) == rows
+    _, found = ngram_join.similar_sets(frame, n, t)
+    assert Counter(round(x.jaccard, 9) for x in found.collect()) == Counter(j for _, j in pairs)
+
+
+def test_join_in_blocks(spark, monkeypatch):
+    """Cells that are cut into blocks, several chunk files and parts: the same rows."""
+    docs = near_copies(random.Random(77), 12, most=40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute_links(docs, 2, 0.75)[1]
+    assert joined(frame) == want
+    for name, value in (("BLOCK_SETS", 3), ("CHUNK_GRAMS", 500), ("PART_GRAMS", 300), ("COLUMNS", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert joined(frame) == want
+
+
+def test_common_counts():
+    r = np.random.default_rng(3)
+    for m in (2, 3, 17):
+        sets = [np.unique(r.integers(300, size=r.integers(1, 400))).astype(np.uint64) for _ in range(m)]
+        assert ngram_join.common_counts(sets).tolist() == [[len(np.intersect1d(x, y)) if x is not y else common for y, common in zip(sets, row, strict=True)] for x, row in zip(sets, ngram_join.common_counts(sets).tolist(), strict=True)]
+
+
+def test_short_sketch_bounds_the_difference():
+    r = np.random.default_rng(9)
+    for size in (5, 130, 900, 5000):
+        a = np.unique(r.integers(1 << 32, size=size).astype(np.uint32))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.9)], r.integers(1 << 32, size=size // 4).astype(np.uint32)]))
+        x, y = ngram_join.short_sketch(a), ngram_join.short_sketch(b)
+        w = min(len(x), len(y))
+        assert np.bitwise_count(ngram_join.folded(x, w) ^ ngram_join.folded(y, w)).sum() <= len(np.setxor1d(a, b))
 
 
 def test_sketch_bounds_the_difference():
@@ -200,7 +250,7 @@ def test_sketch_bounds_the_difference():
             a = np.unique(r.integers(1 << 63, size=size).astype(np.uint64))
             b = np.unique(np.concatenate([a[: int(len(a) * 0.95)], r.integers(1 << 63, size=int(len(a) * 0.05)).astype(np.uint64)]))
             j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            ka, kb = (set(np.concatenate([k for k, _ in ngram_join.sketch_keys(x.astype(np.uint32), len(x), rarity, 0.8)]).tolist()) for x in (a, b))
+            ka, kb = (set(np.concatenate(ngram_join.sketch_keys(x.astype(np.uint32), len(x), rarity, 0.8)).tolist()) for x in (a, b))
             assert j < 0.8 or ka & kb
 
 
@@ -214,10 +264,9 @@ def test_join_default_threshold(spark):
         for at in r.sample(range(0, 200, 2), 13):
             copy[at] = f"x{r.randint(0, 5000)}"
         docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
-    want = brute_pairs(docs, ngram_join.N, 0.75)
-    assert len(want) == 30 and all(0.75 <= j < 0.8 for _, _, j in want)
-    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert Counter((x.doc_id_a, x.doc_id_b, round(x.jaccard, 9)) for x in found) == want
+    pairs, rows = brute_links(docs, ngram_join.N, 0.75)
+    assert len(pairs) == 30 and all(0.75 <= j < 0.8 for _, j in pairs)
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string")) == rows
 
 
 @pytest.mark.parametrize("t", [0.5, 0.65, 0.75, 0.8, 0.95])
@@ -227,16 +276,24 @@ def test_sketch_has_more_words_than_differ(t):
 
 
 def test_join_odd(spark, odd, empty):
-    assert ngram_join.ngram_jaccard_join(empty).count() == 0
-    got = ngram_join.ngram_jaccard_join(odd.withColumns({"th": F.lit(1), "sid": F.lit(2), "A": F.lit(3)})).collect()
-    assert sorted((x.doc_id_a, x.doc_id_b, x.jaccard) for x in got) == [(3, 3, 1.0), (3, 4, 1.0), (3, 4, 1.0)]
+    assert joined(empty) == Counter()
+    got = joined(odd.withColumns({"th": F.lit(1), "sid": F.lit(2), "A": F.lit(3)}))
+    assert got == Counter([(1, 1, 0), (2, 2, 0), (None, None, 0), (None, None, 0), (3, 3, 2), (3, 3, 2), (4, 3, 2), (5, 5, 0), (6, 6, 0), (7, 7, 0)])
+
+
+def test_components_odd(spark):
+    rows = [(1, 2), (2, 3), (2, 3), (5, 5), (None, 7), (9, 8)]
+    got = ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert sorted((x.node, x.root) for x in got) == [(2, 1), (3, 1), (9, 8)]
 
 
 def test_keep_one(spark, odd, empty):
     assert ngram_join.keep_one(empty).count() == 0
-    kept = ngram_join.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert Counter(x.doc_id for x in kept.collect()) == Counter([1, 2, None, None, 3, 5, 6, 7])
+    clash = odd.withColumns({"_d": F.lit(1), "_H": F.lit(2), "sid": F.lit(3), "stays": F.lit(4), "m": F.lit(5)})
+    for frame in (odd, clash):
+        kept = ngram_join.keep_one(frame)
+        assert kept.columns == frame.columns
+        assert Counter(x.doc_id for x in kept.collect()) == Counter([1, 2, None, None, 3, 5, 6, 7])
     chain = [(i, " ".join(f"w{j}" for j in range(i * 4, i * 4 + 100))) for i in range(30)]
     rows = spark.createDataFrame(chain, "doc_id long, text string")
     assert [x.doc_id for x in ngram_join.keep_one(rows).collect()] == [0]
@@ -254,7 +311,7 @@ def test_keep_one_default_threshold(spark):
             for at in r.sample(range(1, 299, 2), int(300 * share)):
                 copy[at] = f"x{r.randint(0, 100_000)}"
             docs.append((10 * i + k + 1, " ".join(copy)))
-    assert any(i % 10 == 0 and j == i + 3 and x < 0.8 for i, j, x in brute_pairs(docs, ngram_join.N, 0.7))
+    assert any(0.75 <= j < 0.8 for _, j in brute_links(docs, ngram_join.N, 0.7)[0])
     kept = ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == [10 * i for i in range(8)]
 

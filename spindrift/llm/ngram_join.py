@@ -5,26 +5,31 @@ into a sketch of C words of 2^32 bits: an n-gram flips one bit of one word (XOR)
 the Hamming distance of two sketches is at most the symmetric difference of the
 sets. Jaccard >= t bounds that difference by D = (1-t)/(1+t) (|a|+|b|), hence at
 most D words differ: of any D+1 non-empty words of a document one must recur in its
-partner at the same place (pigeonhole). The sketch is sparse; a word is kept as the
-XOR of 64-bit hashes of its set bits, which flips with the same parity. A document
-emits D+1 of its words as join keys, those expected to be rarest by the document
-frequencies of all n-grams in the corpus; a common total order of the keys makes this
-a prefix filter, so no pair is lost. Documents with too few non-empty words (D or
-fewer) emit all words, empty ones too, which covers pairs of such documents.
+partner at the same place (pigeonhole), and of any D+s words s must. The sketch is
+sparse; a word is kept as the XOR of 64-bit hashes of its set bits, which flips with
+the same parity. A document emits D+s of its words as join keys, s by band, those
+expected to be rarest by the document frequencies of all n-grams in the corpus; a common
+total order of the keys makes this a prefix filter: a pair shares s keys at least.
+Documents with fewer non-empty words emit all words, empty ones too, which covers pairs
+of such documents.
 
 1. Sets: one scan writes the n-gram hashes of all documents to chunk files in the shared
    folder, and a narrow table says where each document's set is. Equal sets are one class.
-2. Keys: each chunk's keys go to the reducers packed, some 6 bytes a key.
-3. Cells: sets that share a key meet at the least of them, the centre: m sets give m
-   places, not m^2 pairs. Any two sets that share a key have a centre in common.
-4. Filter: the sets of a cell are compared by short parity sketches of one bit array, whose
+2. Frequencies: each chunk's distinct n-grams go to the reducers packed, some 3 bytes
+   each, and come back as a byte of surprise each. They are exact at every size.
+3. Keys: each chunk's keys go to the reducers packed, some 6 bytes a key.
+4. Cells: sets that share a key meet at the least of them, the centre: m sets give m
+   places, not m^2 pairs. Any two sets that share a key have a centre in common. A set
+   leaves the cells that it shares its fewest keys with, as long as these are fewer than
+   s/2 keys together: of the s keys that a pair shares, one then stays in both.
+5. Filter: the sets of a cell are compared by short parity sketches of one bit array, whose
    Hamming distance also bounds the difference. A set with no near partner leaves the cell.
-5. Verification: the n-gram hashes of the remaining sets are compared exactly, as bit
+6. Verification: the n-gram hashes of the remaining sets are compared exactly, as bit
    matrices. A pair is counted in the least centre that its sets share, so once.
 
 No pair is ever a row of a shuffle: cells return a number of links and a root for each
 set. Large cells are cut into blocks that meet two by two in different tasks. The plan
-is the same at every size; nothing is broadcast but a table of fixed size.
+is the same at every size; nothing is broadcast.
 
 A document joins the band of its own size, and the band above if a partner of that
 size is still possible.
@@ -54,16 +59,18 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift.llm.common import WORD, WordHasher, column, discard, fresh, materialize, mix64, open_path, parts_of, scratch_path, table
 
 N, THRESHOLD = 2, 0.75
-#: Slots of the table of document frequencies (a fixed 2 MB for the tasks), the ratio of
-#: a band's bounds; places of a sketch per n-gram of the lower bound.
-SLOTS, RATIO = 1 << 18, 2.0
+#: The ratio of a band's bounds; steps of surprise per bit.
+RATIO, STEPS = 2.0, 8
 #: The fewer places, the more n-grams a word holds and the rarer it is; small sets need more.
-#: SPREAD is in units of (1-t)/(1+t): words of a band differ at most 4 such units, so it is above 4.
-SPREAD, SMALL_SPREAD, SMALL_BAND = 4.5, 0.9, 6
+#: SPREAD is in units of (1-t)/(1+t) of a band's lower bound: words of a band differ at most 4
+#: such units, so it is above 4 and SHARED, the keys that a pair has in common at least (1 in small bands).
+SPREAD, SHARED, SMALL_SPREAD, SMALL_BAND = 5.0, 0.5, 0.9, 6
+MOST_PLACES = 1 << 24
 #: n-grams and sets of a chunk file; n-grams whose keys (about half as many) one task holds at a time.
 CHUNK_GRAMS, CHUNK_SETS, PART_GRAMS = 1_500_000, 1 << 16, 6_000_000
 #: Sets and bytes of a block: cells with more are cut into blocks. Columns of a bit matrix at a time.
@@ -114,43 +121,56 @@ def own_band(size: int) -> int:
 
 
 def places(band: int, t: float) -> int:
-    """Words of a sketch of this band: more than may differ at Jaccard t, up to 2^21."""
+    """Words of a sketch of this band: more than may differ at Jaccard t, up to 2^24."""
     spread = SPREAD * (1 - t) / (1 + t)
-    return min(int(np.ceil((spread if band >= SMALL_BAND else max(spread, SMALL_SPREAD)) * RATIO**band)) + 1, 1 << 21)
+    return min(int(np.ceil((spread if band >= SMALL_BAND else max(spread, SMALL_SPREAD)) * RATIO**band)) + 1, MOST_PLACES)
 
 
-def rarity_table(counts: np.ndarray, documents: int) -> np.ndarray:
-    """64 times the bits of surprise at an n-gram of each slot, as whole numbers."""
-    return np.round(64 * np.log2((documents + 1.0) / (counts + 0.5)).clip(0, 500)).astype(np.uint64)
+def shared_keys(band: int, t: float) -> int:
+    """Keys that two sets of Jaccard t have in common at least, in the band of the larger one."""
+    if band < SMALL_BAND or places(band, t) == MOST_PLACES:
+        return 1
+    return max(int(SHARED * (1 - t) / (1 + t) * RATIO**band), 1)
 
 
-def sketch_keys(grams: np.ndarray, size: int, rarity: np.ndarray, t: float) -> list[np.ndarray]:
-    """For each band of a set of ``size``: its join keys in their common order.
+def slack(size: Column, t: float) -> Column:
+    """Shared keys that a set of this size may leave out of account: less than half of :func:`shared_keys`."""
+    # the bands are few; the width of the binary form is the band (RATIO is 2)
+    least = [(shared_keys(band, t) - 1) // 2 for band in range(64)]
+    return F.element_at(F.array(*[F.lit(v) for v in least]), F.length(F.bin(size)))
 
-    ``grams`` are 32 bits of the n-grams' hashes. Folding hashes can only bring two sets
-    closer, so the bound on differing words holds for them.
+
+def surprise(counts: np.ndarray, sets: int) -> np.ndarray:
+    """Steps of surprise at n-grams that ``counts`` of the sets have, uint8."""
+    return np.round(STEPS * np.log2((sets + 1.0) / (counts + 0.5))).clip(0, 255).astype(np.uint8)
+
+
+def sketch_keys(grams: np.ndarray, rarity: np.ndarray, t: float) -> list[np.ndarray]:
+    """For each band of a set: its join keys in their common order.
+
+    ``grams`` are 32 bits of the n-grams' hashes, ``rarity`` their surprise. Folding
+    hashes can only bring two sets closer, so the bound on differing words holds for them.
     """
     out = []
-    surprise = rarity[grams & np.uint32(SLOTS - 1)]
     wide = grams.astype(np.uint64)
-    tail = wide << np.uint64(11) | np.minimum(surprise, np.uint64(2047))
-    for band, d in bands(size, t):
-        count = places(band, t)
-        v = np.sort((wide % np.uint64(count)) << np.uint64(43) | tail)
-        place = v >> np.uint64(43)
+    tail = wide << np.uint64(8) | rarity
+    for band, d in bands(len(grams), t):
+        count, need = places(band, t), d + shared_keys(band, t)
+        v = np.sort((wide % np.uint64(count)) << np.uint64(40) | tail)
+        place = v >> np.uint64(40)
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        words = np.bitwise_xor.reduceat(mix64((v >> np.uint64(11)) ^ _seed(band)), starts)
-        rare = np.add.reduceat(v & np.uint64(2047), starts)
+        words = np.bitwise_xor.reduceat(mix64((v >> np.uint64(8)) ^ _seed(band)), starts)
+        rare = np.add.reduceat(v & np.uint64(255), starts)
         place = place[starts]
         some = words != 0
         if not some.all():
             words, rare, place = words[some], rare[some], place[some]
         key = words
-        if len(key) > d + 1:
+        if len(key) > need:
             # the common order: rarest first, then by the key itself
             order = (np.uint64((1 << 24) - 1) - np.minimum(rare, np.uint64((1 << 24) - 1))) << np.uint64(40) | key >> np.uint64(24)
-            key = key[np.argsort(order)[: d + 1]]
-        elif len(key) <= d:
+            key = key[np.argsort(order)[:need]]
+        elif len(key) < need:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place, assume_unique=True)
             key = np.concatenate([key, np.sort(mix64(mix64(_seed(band) ^ np.uint64(1 << 63)) ^ (empty + np.uint64(7))))])
             if count <= d:  # only where places() is at its limit: all words may differ, so such sets all meet
@@ -183,6 +203,9 @@ class Chunk:
     def part(self, pos: int) -> slice:
         return slice(int(self.cuts[pos]), int(self.cuts[pos + 1]))
 
+    def lows(self, spots: list[int]) -> np.ndarray:
+        return np.concatenate([self.low[self.part(pos)] for pos in spots])
+
     def grams(self, pos: int) -> bytes:
         some = self.part(pos)
         return self.low[some].tobytes() + self.high[some].tobytes()
@@ -210,14 +233,14 @@ _FOUND = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64
 
 def _sets(rows: DataFrame, n: int, where: str) -> DataFrame:
     """kind 0: (doc_id, th, sid, num, size) of every document; kind 1: num is a chunk, path its
-    file; kind 2: size documents with an n-gram of slot num.
+    file.
 
     A set's number is its task, chunk and place. Every attempt of a task writes files of
     its own, and rows only name those of the attempt that was committed.
     """
 
     def scan(batches):
-        hasher, total, seen = WordHasher(), np.zeros(SLOTS, np.int64), {}
+        hasher, seen = WordHasher(), {}
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         sets: list[np.ndarray] = []
         held = chunks = 0
@@ -238,7 +261,6 @@ def _sets(rows: DataFrame, n: int, where: str) -> DataFrame:
                     continue
                 sid = set_id(grams)
                 at = seen.get(sid)
-                np.add.at(total, (grams & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 if at is None:
                     at = (task << 20 | chunks) << 20 | len(sets)
                     if len(seen) < 200_000:
@@ -253,10 +275,6 @@ def _sets(rows: DataFrame, n: int, where: str) -> DataFrame:
                 yield _batch(out, _FOUND)
         if sets:
             yield _batch([closed()], _FOUND)
-        slots = np.flatnonzero(total)
-        if len(slots):
-            none = pa.nulls(len(slots), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), 2, np.int8)), none, none, none, pa.array(slots), pa.array(total[slots]), pa.nulls(len(slots), pa.string())], schema=_FOUND)
 
     return rows.mapInArrow(scan, "kind byte, doc_id bigint, th bigint, sid bigint, num bigint, size bigint, path string")
 
@@ -268,35 +286,91 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 # ---- keys and cells -------------------------------------------------------------------
 
 
-def _blobs(wanted: DataFrame, rarity, t: float, parts: int) -> DataFrame:
-    """(part, data): the keys of the chunks' wanted sets, packed by ranges of the key.
+def _cut(values: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to): the sorted values (32 bits) by equal ranges."""
+    part = values.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
+    names, starts = np.unique(part, return_index=True)
+    yield from zip(names.tolist(), starts.tolist(), np.append(starts[1:], len(values)).tolist(), strict=True)
 
-    data: the chunk's number, the first of the key's upper 16 bits (of 48) and how many
-    keys have this and the following values; 32 lower bits and the place of the set by key.
-    """
+
+def packed_counts(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted values of 32 bits as steps of 16 (or 32) bits, and their counts up to 255."""
+    step = np.diff(values.astype(np.int64), prepend=int(values[0]))
+    wide = step >= 0xFFFF
+    head = np.array([len(values), values[0]], np.int64)
+    return head.tobytes() + np.where(wide, 0xFFFF, step).astype(np.uint16).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + step[wide].astype(np.uint32).tobytes()
+
+
+def opened_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, first = np.frombuffer(data, np.int64, 2).tolist()
+    step = np.frombuffer(data, np.uint16, n, 16).astype(np.int64)
+    step[step == 0xFFFF] = np.frombuffer(data, np.uint32, offset=16 + 3 * n)
+    return (np.cumsum(step) + first).astype(np.uint32), np.frombuffer(data, np.uint8, n, 16 + 2 * n)
+
+
+def _gram_counts(wanted: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, data): each chunk's distinct n-grams and in how many of its sets they are."""
 
     def scan(batches):
         for rows in parts_of(batches, "path", "chunk", "spots"):
             for path, number, spots in rows:
+                value, count = np.unique(Chunk(path).lows(spots), return_counts=True)
+                cut = list(_cut(value, parts))
+                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array([packed_counts(value[a:b], count[a:b]) for _, a, b in cut], pa.binary())], names=["part", "chunk", "data"])
+
+    return wanted.mapInArrow(scan, "part int, chunk bigint, data binary")
+
+
+def _surprises(sets: int):
+    """(chunk, part, data): a byte of surprise for each n-gram of the chunk in this part, in order."""
+
+    def run(batches):
+        found: dict[int, list] = {}
+        for rows in parts_of(batches, "part", "chunk", "data"):
+            for part, number, data in rows:
+                found.setdefault(part, []).append((number, *opened_counts(data)))
+        for part in sorted(found):
+            numbers, values, counts = zip(*found.pop(part), strict=True)
+            _, at = np.unique(np.concatenate(values), return_inverse=True)
+            rare = surprise(np.bincount(at, np.concatenate(counts)), sets)[at]
+            ends = np.cumsum([len(v) for v in values]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([part] * len(numbers), pa.int32()), pa.array([rare[b - len(v) : b].tobytes() for b, v in zip(ends, values, strict=True)], pa.binary())], names=["chunk", "part", "data"])
+
+    return run
+
+
+def _blobs(wanted: DataFrame, t: float, parts: int) -> DataFrame:
+    """(part, data): the keys of the chunks' wanted sets, packed by ranges of the key.
+
+    ``wanted`` (path, chunk, spots, rare) has the bytes of surprise by part. data: the chunk's
+    number, the first of the key's upper 16 bits (of 48) and how many keys have this and
+    the following values; 32 lower bits and the place of the set by key.
+    """
+
+    def scan(batches):
+        for rows in parts_of(batches, "path", "chunk", "spots", "rare"):
+            for path, number, spots, rare in rows:
                 chunk = Chunk(path)
-                keys, owners = [], []
+                at = np.unique(chunk.lows(spots), return_inverse=True)[1]
+                rarity = np.frombuffer(b"".join(r["data"] for r in rare), np.uint8)[at].astype(np.uint64)
+                keys, owners, seen = [], [], 0
                 for pos in spots:
                     grams = chunk.low[chunk.part(pos)]
-                    for key in sketch_keys(grams, len(grams), rarity.value, t):
+                    for key in sketch_keys(grams, rarity[seen : seen + len(grams)], t):
                         keys.append(key >> np.uint64(16))
                         owners.append(np.full(len(key), pos, np.uint16))
+                    seen += len(grams)
                 key, owner = np.concatenate(keys), np.concatenate(owners)
-                del keys, owners, chunk
+                del keys, owners, chunk, at, rarity
                 order = np.argsort(key)
                 key, owner = key[order], owner[order]
-                part = (key >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)
-                names, starts = np.unique(part, return_index=True)
-                data = []
-                for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
+                names, data = [], []
+                for part, a, b in _cut((key >> np.uint64(16)).astype(np.uint32), parts):
+                    names.append(part)
                     top = (key[a:b] >> np.uint64(32)).astype(np.int64)
                     counts = np.bincount(top - top[0]).astype(np.uint32)
                     data.append(np.array([number, top[0], len(counts)], np.int64).tobytes() + counts.tobytes() + key[a:b].astype(np.uint32).tobytes() + owner[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
     return wanted.mapInArrow(scan, "part int, data binary")
 
@@ -311,7 +385,7 @@ def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
-    """(a, c): sets that share a key of this part with others, and the least set of the key."""
+    """(a, c, n): sets that share n keys of this part with others of which c is the least."""
     found: dict[int, list] = {}
     for rows in parts_of(batches, "part", "data"):
         for part, data in rows:
@@ -329,8 +403,9 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
         a, c = a[order], c[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        if new.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(c[new])], names=["a", "c"])
+        starts = np.flatnonzero(new) if len(a) else np.empty(0, np.int64)
+        if len(starts):
+            yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(c[starts]), pa.array(np.diff(np.append(starts, len(a))))], names=["a", "c", "n"])
 
 
 def sketch_bytes(size: int) -> int:
@@ -583,6 +658,8 @@ def _joined(docs: DataFrame, n: int, t: float, pairs: bool = False) -> tuple[Dat
     num, size, weight (documents), first (the least document) of each class of equal
     sets. links: see :func:`_links`, or :func:`_pairs`.
     """
+    if not 1 / RATIO <= t <= 1:
+        raise ValueError("t must be from 0.5 to 1")
     spark = docs.sparkSession
     where = scratch_path(spark, "ngram-chunks")
     text = column(docs, "text", "string")
@@ -593,18 +670,19 @@ def _joined(docs: DataFrame, n: int, t: float, pairs: bool = False) -> tuple[Dat
     sets = found.where("kind = 0 AND sid IS NOT NULL").groupBy("sid").agg(F.min("num").alias("num"), F.first("size").cast("int").alias("size"), F.count("*").alias("weight"), F.min(order).alias("first"))
     sets = materialize(sets, "ngram-classes")
     chunks = found.where("kind = 1").select(F.col("num").alias("chunk"), "path")
-    counts = found.where("kind = 2").groupBy("num").agg(F.sum("size").alias("n")).toPandas()  # SLOTS rows at most
-    totals = sets.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("m"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
-    frequency = np.zeros(SLOTS)
-    frequency[counts["num"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
-    rarity = spark.sparkContext.broadcast(rarity_table(frequency, totals.m))
+    totals = sets.agg(F.count("*").alias("m"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.s // PART_GRAMS))
     # a chunk has a bounded number of sets
     wanted = sets.groupBy(F.shiftright("num", 20).alias("chunk")).agg(F.collect_list((F.col("num").bitwiseAND(0xFFFFF)).cast("int")).alias("spots"))
-    wanted = wanted.join(chunks, "chunk").select("path", "chunk", "spots").repartition(parts)
-    met = _blobs(wanted, rarity, t, parts).repartitionById(parts, "part").mapInArrow(_meet, "a bigint, c bigint")
-    centres = met.groupBy("a").agg(F.array_sort(F.collect_set("c")).alias("cs"))
-    centres = materialize(centres.join(sets.select(F.col("num").alias("a"), "size", "weight"), "a"), "ngram-centres")
+    wanted = materialize(wanted.join(chunks, "chunk").select("path", "chunk", "spots"), "ngram-wanted").repartition(parts, "chunk")
+    rare = _gram_counts(wanted, parts).repartitionById(parts, "part").mapInArrow(_surprises(totals.m), "chunk bigint, part int, data binary")
+    rare = rare.repartition(parts, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("rare"))
+    met = _blobs(wanted.join(rare, "chunk"), t, parts).repartitionById(parts, "part").mapInArrow(_meet, "a bigint, c bigint, n bigint")
+    cells = met.repartition(parts, "a").groupBy("a", "c").agg(F.sum("n").alias("n")).join(sets.select(F.col("num").alias("a"), "size", "weight").repartition(parts, "a"), "a")
+    fewest = Window.partitionBy("a").orderBy("n", "c").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("upto", F.sum("n").over(fewest)).where(F.col("upto") > slack(F.col("size"), t))
+    centres = cells.groupBy("a").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.array_sort(F.collect_list("c")).alias("cs"))
+    centres = materialize(centres, "ngram-centres")
     # the centres of a set are at most its keys
     spots = centres.select("a", "size", "weight", F.posexplode("cs").alias("k", "c"), "cs")
     spots = spots.select("a", "c", "size", "weight", _packed(F.slice("cs", F.lit(1), F.col("k"))).alias("smaller"))

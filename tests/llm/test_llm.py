@@ -224,6 +224,37 @@ def test_join_in_blocks(spark, monkeypatch):
     assert joined(frame) == want
 
 
+def test_join_drops_no_pair_with_shared_passages(spark):
+    """Large sets leave cells of few shared keys; pairs at the threshold stay, whatever passages others share."""
+    r = random.Random(12)
+    passages = [[f"p{k}x{j}" for j in range(60)] for k in range(6)]
+    docs = []
+    for i in range(60):
+        words = [f"w{r.randint(0, 3000)}" for _ in range(r.choice([130, 200, 500, 900, 1500]))]
+        for p in r.sample(passages, 3):
+            at = r.randrange(len(words))
+            words[at:at] = p
+        docs.append((10 * i, " ".join(words)))
+        for k in range(r.choice([0, 1, 2])):
+            copy = list(words)
+            for at in r.sample(range(len(copy)), int(len(copy) * r.choice([0.05, 0.065, 0.07, 0.075]))):
+                copy[at] = f"x{r.randint(0, 10**6)}"
+            docs.append((10 * i + k + 1, " ".join(copy)))
+    assert ngram_join.shared_keys(9, 0.75) > 10
+    pairs, rows = brute_links(docs, 2, 0.75)
+    assert any(j < 0.77 for _, j in pairs)
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)) == rows
+
+
+def test_packed_counts():
+    r = np.random.default_rng(4)
+    for top in (500, 1 << 31, (1 << 32) - 1):
+        v = np.unique(r.integers(top + 1, size=400).astype(np.uint32))
+        n = r.integers(1, 300, size=len(v))
+        values, counts = ngram_join.opened_counts(ngram_join.packed_counts(v, n))
+        assert values.tolist() == v.tolist() and counts.tolist() == np.minimum(n, 255).tolist()
+
+
 def test_common_counts():
     r = np.random.default_rng(3)
     for m in (2, 3, 17):
@@ -242,16 +273,15 @@ def test_short_sketch_bounds_the_difference():
 
 
 def test_sketch_bounds_the_difference():
-    """Differing words never outnumber the differing n-grams, and similar sets share a key."""
+    """Differing words never outnumber the differing n-grams, and similar sets share the keys they must."""
     r = np.random.default_rng(2)
-    rarity = ngram_join.rarity_table(np.ones(ngram_join.SLOTS), 10)
-    for size in (3, 17, 120, 900):
+    for size in (3, 17, 120, 900, 4090, 9000):
         for _ in range(30):
             a = np.unique(r.integers(1 << 63, size=size).astype(np.uint64))
             b = np.unique(np.concatenate([a[: int(len(a) * 0.95)], r.integers(1 << 63, size=int(len(a) * 0.05)).astype(np.uint64)]))
             j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            ka, kb = (set(np.concatenate(ngram_join.sketch_keys(x.astype(np.uint32), len(x), rarity, 0.8)).tolist()) for x in (a, b))
-            assert j < 0.8 or ka & kb
+            ka, kb = (set(np.concatenate(ngram_join.sketch_keys(x.astype(np.uint32), x >> np.uint64(3) & np.uint64(31), 0.8)).tolist()) for x in (a, b))
+            assert j < 0.8 or len(ka & kb) >= ngram_join.shared_keys(ngram_join.own_band(max(len(a), len(b))), 0.8)
 
 
 def test_join_default_threshold(spark):

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import column, rows_of, table
 
 BUDGET, HISTORY, HISTORY_BUDGET, OVERHEAD = 512, 2, 128, 4
+#: A turn costs at least a token for so many bytes of UTF-8, whether or not it has spaces.
+TOKEN_BYTES = 4
 
 SCHEMA = "conv_id bigint, window_no int, first_pos int, last_pos int, n_history int, n_tokens bigint, over_budget boolean, text string, targets string"
 _ARROW = pa.schema([("conv_id", pa.int64()), ("window_no", pa.int32()), ("first_pos", pa.int32()), ("last_pos", pa.int32()), ("n_history", pa.int32()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_()), ("text", pa.string()), ("targets", pa.string())])
@@ -98,7 +100,8 @@ class _Windows:
 def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET, overhead: int = OVERHEAD) -> DataFrame:
     """Training windows of the conversations, one row each.
 
-    A turn costs its whitespace-separated tokens plus ``overhead``. ``first_pos`` and
+    A turn costs its whitespace-separated words, or a token for each TOKEN_BYTES bytes
+    if that is more (texts without spaces, links, code), plus ``overhead``. ``first_pos`` and
     ``last_pos`` are the span of new turns (places in the order, from 0); ``targets``
     lists the character spans of ``text`` to train on. One shuffle on conv_id; the
     sorted turns are then streamed, so a long conversation is never held whole.
@@ -106,7 +109,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     turns = conversations.select(
         column(conversations, "conv_id", "bigint").alias("conv_id"), column(conversations, "turn", "bigint").alias("turn"),
         column(conversations, "role", "string").alias("role"), column(conversations, "text", "string").alias("text"),
-    ).select("*", (F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+")), F.lit(0)) + overhead).cast("bigint").alias("tokens"))
+    ).select("*", (F.coalesce(F.greatest(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+")), F.ceil(F.octet_length("text") / F.lit(float(TOKEN_BYTES)))), F.lit(0)) + overhead).cast("bigint").alias("tokens"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def windows(batches):
@@ -143,7 +146,7 @@ ORACLE = f"""
 WITH RECURSIVE turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos,
     coalesce(role, 'user') AS role, coalesce(text, '') AS text,
-    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) + {OVERHEAD} AS tokens
+    greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')), (octet_length(encode(coalesce(text, ''))) + {TOKEN_BYTES - 1}) // {TOKEN_BYTES}) + {OVERHEAD} AS tokens
   FROM conversations),
 marked AS (
   SELECT *, min(CASE WHEN role <> 'system' THEN pos END) OVER (PARTITION BY conv_id) AS first_other FROM turns),

@@ -13,8 +13,8 @@ Defined results
   are replicated at their source's rate. A source whose size is 0: rate 1.
 * NULL doc_id: the draw is hashed from the text instead.
 * Repeated rows: each is replicated; equal rows draw equal counts.
-* Empty table: no rows. Columns named like the added ones are replaced; any
-  other column is carried along.
+* Empty table: no rows. Columns named ``mix_copy`` or ``mix_key`` are replaced; any
+  other column is carried along, whatever its name.
 """
 
 from __future__ import annotations
@@ -75,14 +75,16 @@ def poisson_mix(docs: DataFrame, alpha: float = ALPHA, weights: DataFrame | None
     base = without(docs, "mix_copy", "mix_key")
     names = base.columns
     ident = F.coalesce(column(docs, "doc_id", "string"), F.concat(F.lit("t:"), F.md5(F.coalesce(column(docs, "text", "string"), F.lit("")))))
-    left = base.select(*[F.col(f"`{c}`") for c in names], ident.alias("__id"), column(docs, "source", "string").alias("__src"))
+    # the columns of docs have other names meanwhile, so none can clash
+    inner = [f"c{i}" for i in range(len(names))]
+    left = base.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], ident.alias("__id"), column(docs, "source", "string").alias("__src"))
     right = rates.select(F.col("source").alias("__rs"), F.col("cdf").alias("__cdf"))
     joined = left.join(right, left["__src"].eqNullSafe(right["__rs"]), "inner").withColumn("__u", _uniform(F.col("__id"), seed))
     counted = joined.withColumn("__n", F.expr("size(filter(__cdf, c -> c <= __u))")).where("__n > 0")
-    copies = counted.select(*[F.col(f"`{c}`") for c in names], "__id", F.explode(F.expr("sequence(0, __n - 1)")).alias("mix_copy"))
+    copies = counted.select(*inner, "__id", F.explode(F.expr("sequence(0, __n - 1)")).alias("mix_copy"))
     place = F.concat(F.lit(seed + "|s|"), F.col("__id"), F.lit("|"), F.col("mix_copy").cast("string"))
     keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(place), 1, 15), 16, 10).cast("bigint"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select(*[F.col(f"`{c}`") for c in names], "mix_copy", "mix_key")
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select(*[F.col(i).alias(c) for c, i in zip(names, inner, strict=True)], "mix_copy", "mix_key")
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

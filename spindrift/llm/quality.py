@@ -15,8 +15,9 @@ Defined results
 * Labels without doc_id or quality are left out; several labels of one doc_id count
   as their mean, rounded up from one half. Without any labels all evidence is 0 and
   every document is kept.
-* Repeated rows are judged (and counted) each. Empty table: no rows. Columns named
-  like the added ones are replaced.
+* Repeated rows are judged (and counted) each. Empty table: no rows. Other columns may
+  have any name.
+* Evidence is clipped to 12 nats either way, prior strengths to 1..1000 documents.
 """
 
 from __future__ import annotations
@@ -34,18 +35,13 @@ _SYM = "[^\\p{L}\\p{N} \\t\\n\\r.,;:'\"()?-]"
 _GAP = "[ \\t\\n\\r]+"
 
 
-def feature_buckets(docs: DataFrame) -> list[Column]:
-    """The buckets b0..b3, integers from 0 to 127, all in built-in expressions."""
-    t = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    words = F.filter(F.split(t, _GAP), lambda w: w != "")
-    return [
-        t.alias("__t"),
-        words.alias("__w"),
-    ]
-
-
 def with_buckets(docs: DataFrame) -> DataFrame:
-    base = docs.select("*", *feature_buckets(docs))
+    """Adds the buckets ``__b0``..``__b3``, integers from 0 to 127, all in built-in expressions.
+
+    ``docs`` has ``text`` and otherwise only columns whose names we chose ourselves.
+    """
+    t = F.coalesce("text", F.lit(""))
+    base = docs.select("*", t.alias("__t"), F.filter(F.split(t, _GAP), lambda w: w != "").alias("__w"))
     n = F.greatest(F.size("__w"), F.lit(1)).cast("double")
     base = base.select(
         "*",
@@ -150,12 +146,14 @@ def quality_filter(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
     """
     scored, model = _scored(docs, labels)
     sites = materialize(site_posteriors(scored), "quality-sites")
-    ready = with_buckets(docs).select(
-        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], evidence(model).alias("__llr"),
-        F.round(1 / (1 + F.exp(-evidence(model))), 9).cast("decimal(18,9)").alias("p_document"),
-        column(docs, "source", "string").alias("__src"), column(docs, "lang", "string").alias("__lng"),
+    # the columns of docs have other names meanwhile, so none can clash
+    inner = [f"__c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(
+        *[F.col(f"`{c}`").alias(i) for c, i in zip(docs.columns, inner, strict=True)],
+        column(docs, "text", "string").alias("text"), column(docs, "source", "string").alias("__src"), column(docs, "lang", "string").alias("__lng"),
     )
-    return _decided(ready, sites).where(F.col("p_quality") >= keep).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    ready = with_buckets(plain).select(*inner, evidence(model).alias("__llr"), F.round(1 / (1 + F.exp(-evidence(model))), 9).cast("decimal(18,9)").alias("p_document"), "__src", "__lng")
+    return _decided(ready, sites).where(F.col("p_quality") >= keep).select(*[F.col(i).alias(c) for c, i in zip(docs.columns, inner, strict=True)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,9 +167,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents kept, with their posteriors."""
-    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where(F.col("p_quality") >= KEEP)
-    return scores.select("doc_id", "source", "lang", *[F.round(c, 5).alias(c) for c in ("p_document", "p_site", "p_quality")])
+    """Every document with its posteriors and whether it is kept."""
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "source", "lang", *[F.round(c, 5).alias(c) for c in ("p_document", "p_site", "p_quality")], (F.col("p_quality") >= KEEP).alias("kept"))
 
 
 def _sql_string(pattern: str) -> str:
@@ -219,8 +217,8 @@ placed AS (SELECT doc_id, d.source, d.lang, llr, p::DOUBLE AS p_document,
     least(greatest((greatest(s - p::DOUBLE, 0.0::DOUBLE) + m1 * host_rate) / (n - 1 + m1), 1e-6::DOUBLE), (1 - 1e-6)::DOUBLE) AS p_site
   FROM docp d JOIN sites ON d.source IS NOT DISTINCT FROM sites.source AND d.lang IS NOT DISTINCT FROM sites.lang)
 SELECT * FROM (SELECT doc_id, source, lang, round(p_document, 5) AS p_document, round(p_site, 5) AS p_site,
-  round(1 / (1 + exp(-(llr + ln(p_site) - ln(1 - p_site)))), 5) AS p_quality FROM placed
-  WHERE 1 / (1 + exp(-(llr + ln(p_site) - ln(1 - p_site)))) >= {KEEP}::DOUBLE)
+  round(1 / (1 + exp(-(llr + ln(p_site) - ln(1 - p_site)))), 5) AS p_quality,
+  1 / (1 + exp(-(llr + ln(p_site) - ln(1 - p_site)))) >= {KEEP}::DOUBLE AS kept FROM placed)
 """
 
 QUERIES = {"op7_quality": op7_quality}

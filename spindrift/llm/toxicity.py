@@ -12,7 +12,8 @@
    P(best < x) = exp(-k n exp(-lam x)) for a document of n tokens.
 3. Scan: every document is scanned once, in linear time, for all maximal scoring
    segments. Their scores are aggregated to a document by the sum test of the
-   extreme-value law; if its p is at most ``p_max``, the segments counted are passages.
+   extreme-value law; if its p is at most ``p_max``, the segments counted are passages,
+   and so is every other segment that is significant by itself (e-value at most ``p_max``).
 
 Defined results
 ---------------
@@ -248,7 +249,8 @@ def passages_of(text: str, model: Model, scorer, p_max: float) -> tuple[float, l
     p, kept = document_test([s for _, _, s in found], len(scores), model)
     if p > p_max:
         return p, []
-    chosen = sorted(sorted(found, key=lambda x: (-x[2], x[0]))[:kept])
+    ranked = sorted(found, key=lambda x: (-x[2], x[0]))
+    chosen = sorted(x for i, x in enumerate(ranked) if i < kept or model.e_value(x[2], len(scores)) <= p_max)
     places = [m.span() for m in WORD.finditer(text)]
     return p, [(places[a][0], places[b - 1][1], len(scores), s, model.e_value(s, len(scores))) for a, b, s in chosen]
 

@@ -16,9 +16,12 @@ Defined results
 * A stream of several members is read on as one stream. An empty file has no records.
 * A stream that ends within a record: that record has one index row with status
   ``truncated`` and NULL offset and length, and no member (of a record that compresses
-  to more than 32 MB a part may stand behind the last indexed member). Bytes that aren't gzip or
-  WARC where a record should start: the same with status ``malformed``, and the rest of
-  that file is skipped. Whole records before are kept.
+  to more than 32 MB a part may stand behind the last indexed member).
+* Bytes that aren't WARC where a record should start, or a header without a whole number as its
+  Content-Length: one row with status ``malformed``; reading goes on at the next line that
+  starts with ``WARC/`` (for a bad length that may be a line of its block). Bytes that aren't
+  gzip can't be passed over: one ``malformed`` row, and the rest of that file is skipped.
+  Whole records before are kept.
 * Writing pages: NULL html is an empty block, NULL url no target, NULL page_id no id;
   repeated rows are records each. Line breaks in a url are escaped. Other columns are
   ignored. Empty table: no files, no rows.
@@ -60,6 +63,10 @@ class Malformed(Exception):
     pass
 
 
+class NotGzip(Malformed):
+    """The stream can't be inflated any further."""
+
+
 class Inflated:
     """The inflated bytes of a gzip stream, read once and in order."""
 
@@ -77,7 +84,7 @@ class Inflated:
             try:
                 out = self.inflater.decompress(data, CHUNK)
             except zlib.error as why:
-                raise Malformed(str(why)) from None
+                raise NotGzip(str(why)) from None
             self.fresh = False
             self.rest = self.inflater.unconsumed_tail
             if self.inflater.eof:
@@ -106,6 +113,15 @@ class Inflated:
         del self.held[: at + 4]
         return out
 
+    def resync(self) -> bool:
+        """Pass over bytes up to the next line that starts with ``WARC/``; whether there is one."""
+        while (at := self.held.find(b"\nWARC/")) < 0:
+            del self.held[: max(len(self.held) - 5, 0)]
+            if not self._more():
+                return False
+        del self.held[: at + 1]
+        return True
+
     def exactly(self, size: int) -> Iterator[bytes]:
         while size:
             if not self.held and not self._more():
@@ -138,9 +154,10 @@ def normalize_file(source: str, out_dir: str, name: str) -> Iterator[dict]:
                 if header is None:
                     break
                 fields = _fields(header)
-                if not fields.get("content-length", "").isdigit():
+                length = fields.get("content-length", "")
+                if not (length.isascii() and length.isdigit() and len(length) < 19):
                     raise Malformed("no Content-Length")
-                size = int(fields["content-length"])
+                size = int(length)
                 row |= {"warc_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "block_length": size}
                 member, digest, parts = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha256(), Member(out)
                 parts.add(member.compress(header))
@@ -150,7 +167,13 @@ def normalize_file(source: str, out_dir: str, name: str) -> Iterator[dict]:
                 parts.add(member.compress(b"\r\n\r\n"))
                 parts.add(member.flush())
             except (Truncated, Malformed) as why:
-                yield row | {"status": type(why).__name__.lower()}
+                yield row | {"status": "truncated" if isinstance(why, Truncated) else "malformed"}
+                number += 1
+                try:
+                    if type(why) is Malformed and stream.resync():
+                        continue
+                except (Truncated, Malformed):
+                    pass  # the damage is reported already
                 break
             parts.finish()
             row |= {"offset": offset, "length": parts.size, "block_sha256": digest.hexdigest(), "status": "ok"}
@@ -255,5 +278,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.regexp_extract("record_id", r"urn:page:(-?\d+)", 1).cast("bigint").alias("page_id"), "target_uri", "record_no", "offset", "length", "block_length", "block_sha256", "status", "warc_file")
 
 
-QUERIES = {"op10_warc": op10_warc}
-ORACLES: dict = {}
+def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index says of the records, without where the files put them."""
+    return op10_warc(spark, sf_dir).select("page_id", "target_uri", "block_length", "block_sha256", "status")
+
+
+ORACLE = """
+SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri,
+  octet_length(encode(coalesce(html, '')))::BIGINT AS block_length, sha256(coalesce(html, '')) AS block_sha256, 'ok' AS status FROM pages
+"""
+
+QUERIES = {"op10_warc": op10_warc, "op10_warc_records": op10_warc_records}
+ORACLES = {"op10_warc_records": ORACLE}

@@ -114,6 +114,36 @@ def test_toxic_odd(spark, odd, empty, labels, no_labels):
     assert sorted((x.doc_id or -1, x.text) for x in toxicity.toxic_passages(rows, model).collect()) == [(-1, "bad"), (1, "bad"), (1, "bad")]
 
 
+def test_passages_by_brute_force():
+    """The document's sum test, tried for every number of segments, and each segment's own e-value."""
+    r = random.Random(4)
+    for lam, k in ((0.3, 0.1), (0.9, 0.4)):
+        model = toxicity.Model({"bad$": 9, "worse$": 20, "meh$": 1}, lam, k)
+        for _ in range(60):
+            words = [r.choices(["fine", "bad", "worse", "meh"], [40, 3, r.choice([0, 2]), 3])[0] for _ in range(r.randint(1, 400))]
+            text = " ".join(words)
+            scores = [model.score(w) for w in words]
+            found = sorted(brute_segments(scores), key=lambda x: (-x[2], x[0]))
+            n, tails = len(words), []
+            for m in range(1, len(found) + 1):
+                x = sum(lam * s - math.log(k * n) for *_, s in found[:m])
+                if x > m:
+                    tails.append((math.exp(-x) * x ** (m - 1) * 2 ** (m - 1) / (math.factorial(m) * math.factorial(m - 1)), m))
+            p, m = min(tails, default=(1.0, 0))
+            want = {f for i, f in enumerate(found) if p <= toxicity.P_MAX and p < 1 and (i < m or k * n * math.exp(-lam * f[2]) <= toxicity.P_MAX)}
+            got_p, got = toxicity.passages_of(text, model, toxicity._Scorer(model), toxicity.P_MAX)
+            assert got_p == pytest.approx(min(p, 1.0))
+            places = [x.span() for x in WORD.finditer(text)]
+            assert sorted((a, b, s) for a, b, _, s, _ in got) == sorted((places[a][0], places[b - 1][1], s) for a, b, s in want)
+
+
+def test_weaker_passage_beside_a_strong_one():
+    model = toxicity.Model({"bad$": 20, "ill$": 15}, 0.3, 0.1)
+    words = ["fine"] * 200 + ["bad"] * 75 + ["fine"] * 800 + ["ill"] * 3 + ["fine"] * 100
+    _, found = toxicity.passages_of(" ".join(words), model, toxicity._Scorer(model), toxicity.P_MAX)
+    assert [s for _, _, _, s, _ in found] == [1500, 45]
+
+
 # ---- 2 search -----------------------------------------------------------------------------
 
 
@@ -441,6 +471,18 @@ def test_chat_odd(spark):
     assert [(x.conv_id, x.n_tokens, x.targets) for x in got] == [(1, 8, ""), (2, 5, "")]
 
 
+def test_chat_counts_texts_without_spaces(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", "字" * 500) for t in range(6)]
+    got = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window_no").collect()
+    assert [(x.first_pos, x.last_pos, x.n_tokens) for x in got] == [(i, i, 379) for i in range(6)]
+
+
+def test_chat_very_many_turns(spark):
+    turns = spark.range(60_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'one two three' AS text")
+    got = chat.chat_windows(turns).agg(F.max("last_pos"), F.sum(F.col("last_pos") - F.col("first_pos") + 1), F.max("n_tokens")).first()
+    assert got[0] == 59_999 and got[1] == 60_000 and got[2] <= chat.BUDGET
+
+
 def test_chat_sql_on_odd_rows(spark, tmp_path):
     r = random.Random(2)
     rows = [(r.choice([1, 2, 3, None]), r.randint(0, 4), r.choice(["user", "assistant", "system", None]), r.choice(["", None, "a b c", "w " * 150, "v " * 600])) for _ in range(60)]
@@ -499,6 +541,14 @@ def test_quality_odd(spark, odd, empty, labels, no_labels):
     assert quality.quality_filter(wide, labels).columns == wide.columns
 
 
+def test_quality_private_names(spark, odd, labels):
+    names = ["__t", "__w", "__f0", "__b0", "__b3", "__c0", "__src", "__llr", "__id", "s", "m1", "llr", "kept"]
+    wide = odd.withColumns({c: F.lit(c) for c in names})
+    kept = quality.quality_filter(wide, labels)
+    assert kept.columns == wide.columns and all(x[c] == c for x in kept.collect() for c in names)
+    assert kept.count() == quality.quality_filter(odd, labels).count()
+
+
 def test_quality_held_out(spark, data):
     """Half of some 400 labels fit the classifier; the other half judge it."""
     data = f"{data.rsplit('/', 1)[0]}/sf0.01"
@@ -601,6 +651,13 @@ def test_mixing_odd(spark, odd, empty):
     assert all(x.mix_copy >= 0 for x in rows)
 
 
+def test_mixing_private_names(spark, odd):
+    names = ["__id", "__src", "__cdf", "__rs", "__u", "__n", "cdf", "c0", "c1"]
+    done = mixing.poisson_mix(odd.withColumns({c: F.lit(c) for c in names})).collect()
+    assert all(x[c] == c for x in done for c in names)
+    assert Counter((x.doc_id, x.text, x.mix_key) for x in done) == Counter((x.doc_id, x.text, x.mix_key) for x in mixing.poisson_mix(odd).collect())
+
+
 def test_mixing_sql_on_odd_rows(spark, odd, tmp_path):
     odd.where("text IS NULL OR NOT contains(text, char(0))").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     oracle.compare(spark, mixing.op9_poisson_mix, mixing.ORACLE, str(tmp_path))
@@ -643,6 +700,19 @@ def test_warc_damage(spark, tmp_path):
     assert warc.normalize(warc.write_monolithic(none, f"file://{tmp_path}/none"), f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_goes_on_after_a_bad_record(tmp_path):
+    good = [b"".join((*warc.record(i, "u", "x" * 300), b"\r\n\r\n")) for i in range(3)]
+    bad = {
+        "superscript": good[1].replace(b"Content-Length: 300", "Content-Length: 30²".encode()), "none": good[1].replace(b"Content-Length", b"Content-Size"),
+        "huge": good[1].replace(b"Content-Length: 300", b"Content-Length: " + b"9" * 5000), "junk": b"nothing of this kind\r\n" * 50_000, "version": good[1].replace(b"WARC/1.0", b"CRAW/1.0"),
+    }
+    for name, middle in bad.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(gzip.compress(good[0] + middle + good[2]))
+        rows = list(warc.normalize_file(str(tmp_path / f"{name}.warc.gz"), str(tmp_path / "out"), name))
+        assert [(x["record_no"], x["status"]) for x in rows] == [(0, "ok"), (1, "malformed"), (2, "ok")], name
+        assert [warc.read_record(x["warc_file"], x["offset"], x["length"]) for x in rows if x["status"] == "ok"] == [good[0], good[2]]
+
+
 def test_warc_long_url(tmp_path):
     pages = [(1, "data:" + "x" * (2 << 20), "a"), (2, "u", "b"), (3, "v", "c")]
     data = b"".join(h + b + b"\r\n\r\n" for h, b in (warc.record(*p) for p in pages))

@@ -774,11 +774,12 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     judged = materialize(judged.where("NOT stays OR m > 1"), "ngram-judged")
     text = F.xxhash64(column(docs, "text", "string"))
     same = (column(docs, "doc_id", "bigint").eqNullSafe(F.col(d))) & (text == F.col(h)) & column(docs, "text", "string").isNotNull()
-    kept = docs.join(judged.select(d, h), same, "left_anti")
+    # a merge join at every size: the rows cross the network once, and no table is sent to all tasks
+    kept = docs.join(judged.select(d, h).hint("merge"), same, "left_anti")
     repeated = judged.where("stays")
     if repeated.isEmpty():
         return kept
-    again = docs.join(repeated.select(d, h), same, "left_semi").withColumns({d: column(docs, "doc_id", "bigint"), h: text})
+    again = docs.join(repeated.select(d, h).hint("merge"), same, "left_semi").withColumns({d: column(docs, "doc_id", "bigint"), h: text})
     return kept.unionByName(again.dropDuplicates([d, h]).drop(d, h))
 
 

@@ -7,6 +7,7 @@ to CASE expressions, whose branches Catalyst evaluates lazily.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,17 @@ ACTIONS = ("continue", "retry", "drop", "return", "error")
 @dataclass(frozen=True)
 class Step:
     """A named step; ``when`` lists (condition, action) pairs on requests, ``when_response`` on
-    responses. The first condition that holds counts."""
+    responses. The first condition that holds counts. ``response`` has the columns of the
+    step's early responses (status 200 unless given)."""
 
     name: str
     when: list[tuple[Column, str]] = field(default_factory=list)
     delay_ms: int = 0
     when_response: list[tuple[Column, str]] = field(default_factory=list)
+    response: dict[str, Column] = field(default_factory=dict)
+
+    def gives(self, action: str) -> bool:
+        return any(a == action for _, a in self.when)
 
     def action(self, response: bool = False) -> Column:
         out = F.lit("continue")
@@ -61,11 +67,18 @@ def requeue(decided: DataFrame, round_ms: int, current: str = "round") -> DataFr
 
 @dataclass(frozen=True)
 class Pipeline:
-    """An item pipeline: keeps items for which ``keep`` is true; false, NULL or ``fails`` drop them."""
+    """An item pipeline: keeps items for which ``keep`` is true; false, NULL or ``fails`` drop them.
+
+    ``state`` is an aggregate over the items that reached it; it is saved with snapshots and
+    given to ``restore`` when a crawl resumes. ``close`` is called when the crawl has ended.
+    """
 
     name: str
     keep: Column
     fails: Column | None = None
+    state: Column | None = None
+    restore: Callable[[dict], None] | None = None
+    close: Callable[[], None] | None = None
 
 
 def run_items(items: DataFrame, pipelines: list[Pipeline]) -> DataFrame:

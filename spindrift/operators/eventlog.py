@@ -23,6 +23,8 @@ COUNTERS: dict[str, tuple[str, ...]] = {
     "items_dropped_by_pipeline": ("item_dropped",),
 }
 ANSWERED = ("fetch_ok", "early_response")
+#: The effects that settle a request; only an answer that the chains let pass is a success.
+HANDLED = ("fetch_ok", "early_response", "fetch_failed", "retry", "drop", "middleware_error")
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -45,6 +47,14 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def handled(log: DataFrame) -> DataFrame:
+    """A row for each request that was handled, with ``failed``: no answer, or one that a chain
+    dropped or sent back. A crawl's log marks these rows; other logs have an effect a request."""
+    event = F.col("event")
+    rows = log.where("settles") if "settles" in log.columns else log.where(event.isin(*HANDLED))
+    return rows.withColumn("failed", ~event.isin(*ANSWERED))
+
+
 def counters(log: DataFrame) -> DataFrame:
     """One row with all counters; zeros for an empty log."""
     event = F.col("event")
@@ -65,6 +75,13 @@ def status_list(log: DataFrame) -> DataFrame:
     return pairs.select(F.when(F.size("p") > 0, text).otherwise("none").alias("statuses"))
 
 
+def status_lines(log: DataFrame) -> DataFrame:
+    """One row: a line ``- **200**: 5`` for each code, in their order, or ``N/A``."""
+    pairs = status_counts(log).agg(F.array_sort(F.collect_list(F.struct("status", "n"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- **"), x["status"].cast("string"), F.lit("**: "), x["n"].cast("string"))), "\n")
+    return pairs.select(F.when(F.size("p") > 0, text).otherwise("N/A").alias("statuses"))
+
+
 def request_times(log: DataFrame) -> DataFrame:
     """(url, duration_ns): the last time recorded for each URL that was fetched."""
     timed = log.where(F.col("event").isin("fetch_ok", "fetch_failed"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators import eventlog
+
 ENDPOINT_OLD, ENDPOINT_NEW, TARGET_MS = 0.7, 0.3, 1000
 
 
@@ -61,14 +63,14 @@ def endpoint_average(log: DataFrame) -> DataFrame:
         average, n = state
         return (row[0] if not n else int(ENDPOINT_OLD * average + ENDPOINT_NEW * row[0]), n + 1)
 
-    timed = log.where(F.col("event").isin("fetch_ok", "fetch_failed"))
+    timed = eventlog.handled(log).where("duration_ns IS NOT NULL")
     return fold(timed, "host", ["ts", "seq"], ["duration_ns"], lambda: (0, 0), step, lambda s: s, "host string, avg_ns bigint, samples bigint")
 
 
 def endpoint_errors(log: DataFrame) -> DataFrame:
-    """(host, error_rate): the running mean of failures is the mean of failures."""
-    timed = log.where(F.col("event").isin("fetch_ok", "fetch_failed"))
-    return timed.groupBy("host").agg(F.avg((F.col("event") == "fetch_failed").cast("double")).alias("error_rate"))
+    """(host, error_rate): the running mean of failures is the mean of failures. Requests
+    that were dropped or sent back are failures, too."""
+    return eventlog.handled(log).groupBy("host").agg(F.avg(F.col("failed").cast("double")).alias("error_rate"))
 
 
 def rate_average(marks: DataFrame, key: str = "metric", alpha: float = 0.2, gate_s: float = 1.0) -> DataFrame:
@@ -76,21 +78,21 @@ def rate_average(marks: DataFrame, key: str = "metric", alpha: float = 0.2, gate
 
     Events add up until ``gate_s`` has passed since the last update; the rate is then
     blended with the share ``alpha``. The clock starts at a metric's first event; without
-    events the rate stays as it is. ``marks`` has the key, ts and seq.
+    events the rate stays as it is. ``marks`` has the key and ts.
     """
     def step(state, row):
         rate, since, n = state
-        now = row[0]
+        now, events = row
         if since is None:
             since = now
-        n += 1
         passed = (now - since) / 1e6
-        if passed >= gate_s:
-            return (alpha * (n / passed) + (1 - alpha) * rate, now, 0)
-        return (rate, since, n)
+        if passed >= gate_s:  # the first of the instant's events makes the update, the others wait for the next
+            return (alpha * ((n + 1) / passed) + (1 - alpha) * rate, now, events - 1)
+        return (rate, since, n + events)
 
-    timed = marks.withColumn("us", F.unix_micros("ts"))
-    return fold(timed, key, ["us", "seq"], ["us"], lambda: (0.0, None, 0), step, lambda s: (s[0], s[2]), f"{key} string, rate double, pending bigint")
+    # events of one instant are counted before they are shuffled: the fold sees a row an instant
+    timed = marks.groupBy(key, F.unix_micros("ts").alias("us")).agg(F.count("*").alias("events"))
+    return fold(timed, key, ["us"], ["us", "events"], lambda: (0.0, None, 0), step, lambda s: (s[0], s[2]), f"{key} string, rate double, pending bigint")
 
 
 def next_permits(permits: int, mean_ms: int | None, error_rate: float | None, low: int, high: int, target_ms: int = TARGET_MS) -> int:
@@ -110,13 +112,14 @@ def next_permits(permits: int, mean_ms: int | None, error_rate: float | None, lo
 
 def ticks(log: DataFrame, width: str = "1 day") -> DataFrame:
     """(tick, mean_ms, error_rate) by window: the unweighted means over the hosts' means."""
-    timed = log.where(F.col("event").isin("fetch_ok", "fetch_failed")).withColumn("tick", F.window("ts", width)["start"])
-    hosts = timed.groupBy("tick", "host").agg(F.expr("sum(duration_ns) div count(*)").alias("ns"), F.avg((F.col("event") == "fetch_failed").cast("double")).alias("e"))
-    return hosts.groupBy("tick").agg(F.expr("(sum(ns) div count(*)) div 1000000").cast("bigint").alias("mean_ms"), F.round(F.avg("e"), 9).alias("error_rate"))
+    timed = eventlog.handled(log).withColumn("tick", F.window("ts", width)["start"])
+    hosts = timed.groupBy("tick", "host").agg(F.expr("sum(duration_ns) div count(duration_ns)").alias("ns"), F.avg(F.col("failed").cast("double")).alias("e"))
+    return hosts.groupBy("tick").agg(F.expr("(sum(ns) div count(ns)) div 1000000").cast("bigint").alias("mean_ms"), F.round(F.avg("e"), 9).alias("error_rate"))
 
 
-def permit_series(tick_rows: DataFrame, initial: int, low: int, high: int) -> DataFrame:
-    """(tick, permits) after each tick. One controller is one sequence, a row a tick."""
+def permit_series(tick_rows: DataFrame, initial: int, low: int, high: int, target_ms: int = TARGET_MS) -> DataFrame:
+    """(tick, permits) after each tick. One controller is one sequence, a row a tick: ticks are
+    as many as windows of time, not as events, so one task streams them."""
     ordered = tick_rows.repartition(1).sortWithinPartitions("tick").select("tick", "mean_ms", "error_rate")
 
     def run(batches):
@@ -124,13 +127,27 @@ def permit_series(tick_rows: DataFrame, initial: int, low: int, high: int) -> Da
         for batch in batches:
             out = []
             for mean, error in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                permits = next_permits(permits, mean, error, low, high)
+                permits = next_permits(permits, mean, error, low, high, target_ms)
                 out.append(permits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["tick", "permits"])
 
     return ordered.mapInArrow(run, "tick timestamp, permits bigint")
 
 
+def current_permits(series: DataFrame, initial: int) -> DataFrame:
+    """One row: the permits after the last tick of a series, or ``initial`` before any."""
+    return series.agg(F.coalesce(F.max_by("permits", "tick"), F.lit(initial)).cast("bigint").alias("permits"))
+
+
+def scale_workers(depth: int, workers: int, initial: int) -> int:
+    """Parser workers after a look at their queue: one more above three responses a worker, up
+    to four times the first number; one less below half a response a worker, down to it.
+    Spark's dynamic allocation scales tasks; this is the rule for pools outside of it."""
+    if depth > 3 * workers and workers < 4 * initial:
+        return workers + 1
+    return workers - 1 if depth < workers // 2 and workers > initial else workers
+
+
 def quota_step(state: tuple[int, dict[str, int]], total: int, op: str, component: str, amount: int | None) -> tuple[tuple[int, dict[str, int]], bool]:
     """(state, ok) after one command. A second allocation of a component overwrites what
     is known of its first, so that a release returns only the last."""

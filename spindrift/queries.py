@@ -37,6 +37,7 @@ log AS (SELECT event_id AS seq, ts, CASE WHEN event_type = 'view' AND k % 10 = 9
   'user-' || user_id AS host, 'user-' || user_id || '/' || k AS url,
   CASE WHEN k % 5 = 0 THEN 500 WHEN k % 5 = 1 THEN 404 WHEN k % 5 = 2 THEN 301 ELSE 200 END AS status, k * 100 AS bytes,
   CAST(floor(value * 1000000) AS BIGINT) AS duration_ns, k % 10 = 0 AS cached FROM k)"""
+_HANDLED = "('fetch_ok', 'early_response', 'fetch_failed', 'retry', 'drop')"
 _CANON = "regexp_replace(url, '#.*$', '')"
 _HOST = "coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), ''), 'unknown')"
 
@@ -77,14 +78,49 @@ def crawl_visited_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+_SEEN = "s AS (SELECT id, page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM walked JOIN pages ON page_id = id)"
+_ALLOWED = _EDGES + """,
+walk AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 12 AND w.id % 7 <> 3),
+walked AS (SELECT id, min(depth) AS depth FROM walk WHERE id % 7 <> 3 GROUP BY id),
+refused AS (SELECT DISTINCT id FROM walk WHERE id % 7 = 3)"""
+
+
+def _managed(spark: SparkSession, d: str) -> crawl.CrawlResult:
+    """A crawl with a middleware that refuses some pages, and a pipeline."""
+    step = Step("skip", [(F.col("id") % 7 == 3, "drop")])
+    plan = crawl.page_crawl(_pages(spark, d)).add_middleware(step).add_pipeline(Pipeline("odd", F.col("page_id") % 5 != 3, state=F.count("*"))).build()
+    return plan.run(spark, spark.createDataFrame([(0,)], "id bigint"))
+
+
+@register(f"""WITH {_ALLOWED}, {_SEEN}, offers AS (SELECT 1 + count(*) AS n FROM edges JOIN walked ON src = id), t AS (SELECT count(*) AS n, CAST(sum(octet_length(encode(html))) AS BIGINT) AS b FROM s),
+lost AS (SELECT count(DISTINCT (id, w.depth)) AS n FROM (SELECT e.dst AS id, v.depth + 1 AS depth FROM walked v JOIN edges e ON e.src = v.id WHERE e.dst % 7 = 3) w)
+SELECT offers.n AS requests_enqueued, t.n AS requests_sent, t.n AS requests_succeeded, 0::BIGINT AS requests_failed, 0::BIGINT AS requests_retried, lost.n AS requests_dropped, t.n AS responses_received,
+  t.n AS items_scraped, (SELECT count(*) FROM s WHERE id % 5 <> 3) AS items_processed, (SELECT count(*) FROM s WHERE id % 5 = 3) AS items_dropped_by_pipeline, 0::BIGINT AS responses_from_cache, b AS total_bytes_downloaded
+FROM offers, t, lost""")
+def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All counters over the log of a whole crawl with middleware and pipeline."""
+    return eventlog.counters(_managed(spark, d).log)
+
+
+@register(f"WITH {_ALLOWED} SELECT id AS page_id, 1::BIGINT AS fetches FROM walked")
+def crawl_fetch_once(spark: SparkSession, d: str) -> DataFrame:
+    """How often the log has each page downloaded."""
+    return _managed(spark, d).log.where("event = 'fetch_ok'").groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("fetches"))
+
+
+@register(f"WITH {_ALLOWED}, {_SEEN} SELECT 'odd' AS pipeline, count(*) AS seen FROM s")
+def crawl_pipeline_state(spark: SparkSession, d: str) -> DataFrame:
+    states = _managed(spark, d).states
+    return spark.createDataFrame([(n, x["state"]) for n, x in states.items()], "pipeline string, seen bigint")
 
 
 @register(f"""WITH {_BFS}, visited AS (SELECT * FROM bfs),
 sent AS (SELECT count(*) AS n FROM visited)
 SELECT 'fetch_ok' AS event, n FROM sent UNION ALL SELECT 'parse_ok', n FROM sent
+UNION ALL SELECT 'item_ok', n FROM sent
 UNION ALL SELECT 'enqueue_ok', 1 + (SELECT count(*) FROM edges JOIN visited ON src = id)""")
 def crawl_log_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of effects of a whole crawl; duplicate offers count as enqueued."""
+    """Counts of effects of a whole crawl, its items' too; duplicate offers count as enqueued."""
     result = crawl.page_crawl(_pages(spark, d)).build().run(spark, spark.createDataFrame([(0,)], "id bigint"))
     return result.log.groupBy("event").agg(F.count("*").alias("n"))
 
@@ -336,6 +372,11 @@ def status_list(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.status_list(_log(spark, d))
 
 
+@register(f"WITH {_LOG} SELECT coalesce(string_agg('- **' || status || '**: ' || n, chr(10) ORDER BY status), 'N/A') AS statuses FROM (SELECT status, count(*) AS n FROM log WHERE event IN ('fetch_ok', 'early_response') GROUP BY status)")
+def status_lines(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.status_lines(_log(spark, d))
+
+
 _TIMES = _LOG + ", times AS (SELECT url, arg_max(duration_ns, (ts, seq)) AS duration_ns FROM log WHERE event IN ('fetch_ok', 'fetch_failed') GROUP BY url)"
 _SUMMARY = "count(*) AS n, CAST(sum(duration_ns) // count(*) AS BIGINT) AS average_ns, min(duration_ns) AS fastest_ns, max(duration_ns) AS slowest_ns"
 
@@ -365,14 +406,14 @@ def rates_overall(spark: SparkSession, d: str) -> DataFrame:
 # ---- folds --------------------------------------------------------------------------------
 
 
-@register(f"""WITH RECURSIVE {_LOG}, o AS (SELECT host, duration_ns, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS r FROM log WHERE event IN ('fetch_ok', 'fetch_failed')),
+@register(f"""WITH RECURSIVE {_LOG}, o AS (SELECT host, duration_ns, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS r FROM log WHERE event IN {_HANDLED}),
 f AS (SELECT host, r, duration_ns AS a FROM o WHERE r = 1 UNION ALL SELECT o.host, o.r, CAST(trunc(0.7::DOUBLE * f.a + 0.3::DOUBLE * o.duration_ns) AS BIGINT) FROM f JOIN o ON o.host = f.host AND o.r = f.r + 1)
 SELECT host, arg_max(a, r) AS avg_ns, max(r) AS samples FROM f GROUP BY host""")
 def endpoint_ema(spark: SparkSession, d: str) -> DataFrame:
     return folds.endpoint_average(_log(spark, d))
 
 
-@register(f"WITH {_LOG} SELECT host, round(avg(CASE WHEN event = 'fetch_failed' THEN 1.0 ELSE 0.0 END), 9) AS error_rate FROM log WHERE event IN ('fetch_ok', 'fetch_failed') GROUP BY host")
+@register(f"WITH {_LOG} SELECT host, round(avg(CASE WHEN event IN ('fetch_ok', 'early_response') THEN 0.0 ELSE 1.0 END), 9) AS error_rate FROM log WHERE event IN {_HANDLED} GROUP BY host")
 def endpoint_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return folds.endpoint_errors(_log(spark, d)).withColumn("error_rate", F.round("error_rate", 9))
 
@@ -406,7 +447,7 @@ def format_elapsed(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.elapsed(_log(spark, d)).select(formats.format_elapsed(F.col("seconds")).alias("elapsed"))
 
 
-_TICKS = _LOG + """, h AS (SELECT date_trunc('day', ts) AS tick, host, sum(duration_ns) // count(*) AS ns, avg(CASE WHEN event = 'fetch_failed' THEN 1.0 ELSE 0.0 END) AS e FROM log WHERE event IN ('fetch_ok', 'fetch_failed') GROUP BY ALL),
+_TICKS = _LOG + f""", h AS (SELECT date_trunc('day', ts) AS tick, host, sum(duration_ns) // count(*) AS ns, avg(CASE WHEN event IN ('fetch_ok', 'early_response') THEN 0.0 ELSE 1.0 END) AS e FROM log WHERE event IN {_HANDLED} GROUP BY ALL),
 t AS (SELECT tick, CAST((sum(ns) // count(*)) // 1000000 AS BIGINT) AS mean_ms, round(avg(e), 9) AS error_rate, row_number() OVER (ORDER BY tick) AS r FROM h GROUP BY tick)"""
 
 
@@ -418,6 +459,15 @@ def permit_controller(spark: SparkSession, d: str) -> DataFrame:
     return folds.permit_series(folds.ticks(_log(spark, d)), 8, 1, 20).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
+@register(f"""WITH RECURSIVE {_TICKS}, f AS (SELECT 0::BIGINT AS r, 8::BIGINT AS p UNION ALL
+  SELECT t.r, CASE WHEN error_rate > 0.1 THEN greatest(q - 2, 1) WHEN error_rate < 0.01 THEN least(q + 1, 20) ELSE q END FROM (
+    SELECT t.r, t.error_rate, CASE WHEN mean_ms > 400 THEN greatest(f.p - 1, 1) WHEN mean_ms < 200 THEN least(f.p + 1, 20) ELSE f.p END AS q FROM f JOIN t ON t.r = f.r + 1) t)
+SELECT arg_max(p, r) AS permits FROM f""")
+def permits_current(spark: SparkSession, d: str) -> DataFrame:
+    """The permits after the last tick, with a target of 400 ms."""
+    return folds.current_permits(folds.permit_series(folds.ticks(_log(spark, d)), 8, 1, 20, target_ms=400), 8)
+
+
 @register("SELECT seq, op, component, CAST(amount AS BIGINT) AS amount, ok, CAST(available AS BIGINT) AS available FROM (VALUES (1, 'allocate', 'a', 30, true, 70), (2, 'allocate', 'b', 80, false, 70), (3, 'allocate', 'a', 20, true, 50), (4, 'release', 'a', NULL, true, 70), (5, 'release', 'c', NULL, true, 70), (6, 'allocate', 'c', 70, true, 0)) AS t(seq, op, component, amount, ok, available)")
 def quota_ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = [(1, "allocate", "a", 30), (2, "allocate", "b", 80), (3, "allocate", "a", 20), (4, "release", "a", None), (5, "release", "c", None), (6, "allocate", "c", 70)]
@@ -439,10 +489,17 @@ def format_time(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select("seq", formats.format_ns(ns).alias("formatted"))
 
 
-@register(f"WITH {_TIMES}, c AS (SELECT {_COUNTERS_SQL} FROM log), t AS (SELECT {_SUMMARY} FROM times) SELECT c.*, t.n AS request_times, t.average_ns AS avg_request_ns FROM c, t")
+_SNAPSHOT = f"""{_TIMES}, c AS (SELECT {_COUNTERS_SQL} FROM log), t AS (SELECT {_SUMMARY} FROM times), p AS (SELECT {_SUMMARY} FROM log WHERE event = 'parse_ok'),
+st AS (SELECT coalesce(string_agg(status || ': ' || n, ', ' ORDER BY status), 'none') AS statuses FROM (SELECT status, count(*) AS n FROM log WHERE event IN ('fetch_ok', 'early_response') GROUP BY status)),
+el AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM log)"""
+
+
+@register(f"""WITH {_SNAPSHOT} SELECT c.*, t.n AS request_times, t.average_ns AS avg_request_ns, t.fastest_ns AS fastest_request_ns, t.slowest_ns AS slowest_request_ns,
+  p.n AS parses, p.average_ns AS avg_parse_ns, p.fastest_ns AS fastest_parse_ns, p.slowest_ns AS slowest_parse_ns, statuses, round(seconds, 6) AS seconds,
+  round(requests_sent / seconds, 9) AS requests_per_second, round(responses_received / seconds, 9) AS responses_per_second, round(items_scraped / seconds, 9) AS items_per_second FROM c, t, p, st, el""")
 def stats_snapshot(spark: SparkSession, d: str) -> DataFrame:
     snap = report.snapshot(_log(spark, d))
-    return snap.select(*eventlog.COUNTERS, "responses_from_cache", "total_bytes_downloaded", "request_times", "avg_request_ns")
+    return snap.withColumns({"seconds": F.round("seconds", 6)} | {c: F.round(c, 9) for c in snap.columns if c.endswith("_per_second")})
 
 
 @register()

@@ -39,6 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, with the folder, for tables that are discarded soon."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete folders of :func:`scratch_path` that nothing will read again."""
     for path in paths:

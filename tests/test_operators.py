@@ -135,7 +135,8 @@ def test_llm_is_not_needed():
 
 def test_responses_are_judged(spark, data):
     """Early responses aren't sent; dropped responses stay counted but aren't visited."""
-    step = Step("s", [(F.col("id") == 0, "return")], when_response=[(F.col("id") % 5 == 2, "drop")])
+    first = web.read(spark, data, "pages").where("page_id = 0").first().html
+    step = Step("s", [(F.col("id") == 0, "return")], when_response=[(F.col("id") % 5 == 2, "drop")], response={"html": F.lit(first)})
     result = page_crawl(web.read(spark, data, "pages")).add_middleware(step).max_rounds(8).build().run(spark, spark.createDataFrame([(0,)], "id long"))
     events = {r.event: r.n for r in result.log.groupBy("event").agg(F.count("*").alias("n")).collect()}
     ids = {r.id for r in result.visited.collect()}
@@ -168,3 +169,123 @@ def test_ledger_reads(spark):
     rows = spark.createDataFrame([(1, "allocate", "a", 30), (2, "allocate", "b", 20), (3, "release", "a", None)], "seq long, op string, component string, amount long")
     ledger = folds.quota_ledger(rows, 100)
     assert folds.available(ledger, 100).first()[0] == 80 and [tuple(r) for r in folds.allocations(ledger).collect()] == [("b", 20)]
+
+
+def downloads(spark, data, folder, broken=()):
+    """A crawl of the pages table whose downloader leaves a file for each request it gets."""
+    rows = {r.page_id: (r.url, r.html) for r in web.read(spark, data, "pages").collect()}
+
+    def get(i):
+        import uuid
+
+        (folder / f"{i}-{uuid.uuid4().hex}").touch()
+        if i in broken:
+            raise OSError("no route")
+        return 200, rows[i][1]
+
+    def fetch(requests):
+        named = requests.select("id", F.col("id").cast("string").alias("url"))
+        return fetchers.fetch_with(named, lambda u: get(int(u)), 2).withColumnRenamed("body", "html")
+
+    return page_crawl(web.read(spark, data, "pages")).downloader(fetch)
+
+
+def test_each_page_is_downloaded_once(spark, data, tmp_path):
+    first = web.read(spark, data, "pages").where("page_id = 0").first().html
+    closed = []
+    plan = downloads(spark, data, tmp_path, broken=(4,)).add_middleware(Step("early", [(F.col("id") == 0, "return")], response={"html": F.lit(first)}))
+    plan = plan.add_pipeline(Pipeline("odd", F.col("page_id") % 2 == 1, close=lambda: closed.append("odd"))).max_rounds(4).build()
+    result = plan.run(spark, spark.createDataFrame([(0,), (4,)], "id long"))
+    events = {r.event: r.n for r in result.log.groupBy("event").agg(F.count("*").alias("n")).collect()}
+    got = [int(p.name.split("-")[0]) for p in tmp_path.iterdir()]
+    assert 0 not in got and len(got) == events["fetch_ok"] + events["fetch_failed"]
+    assert len([i for i in got if i != 4]) == len({i for i in got if i != 4}) == events["fetch_ok"]
+    stats = result.stats().first()
+    assert stats.requests_sent == len(got) and stats.requests_succeeded == events["fetch_ok"] + 1
+    assert stats.items_processed + stats.items_dropped_by_pipeline == stats.items_scraped == result.visited.count() and stats.items_dropped_by_pipeline > 0
+    assert stats.fastest_request_ns > 0 and closed == ["odd"]
+    assert folds.endpoint_errors(result.log).where("error_rate > 0").count() == 1
+
+
+def test_crawl_capacity(spark, data):
+    """Beyond the bound the last requests by id are rejected; a later offer may admit them."""
+    pages = web.read(spark, data, "pages")
+    out = {}
+    for r in web.edges(pages).collect():
+        out.setdefault(r.src, []).append(r.dst)
+    seen, live, rejected, offered = set(), [0], 0, 1
+    while live:
+        seen |= set(live)
+        found = [t for i in live for t in out.get(i, [])]
+        new = sorted(set(found) - seen)
+        live, lost = new[:4], set(new[4:])
+        rejected += sum(t in lost for t in found)
+        offered += sum(t not in lost for t in found)
+    result = page_crawl(pages).max_pending(4).build().run(spark, spark.createDataFrame([(0,)], "id long"))
+    assert {r.id for r in result.visited.collect()} == seen
+    events = {r.event: r.n for r in result.log.groupBy("event").agg(F.count("*").alias("n")).collect()}
+    assert rejected > 0 and events["rejected_capacity"] == rejected and events["enqueue_ok"] == offered
+
+
+def test_crawl_delays_retries(spark, data):
+    step = Step("wait", [(F.col("id") == 0, "retry")], delay_ms=2500)
+    result = page_crawl(web.read(spark, data, "pages")).add_middleware(step).max_rounds(3).build().run(spark, spark.createDataFrame([(0,)], "id long"))
+    assert [r["round"] for r in result.log.where("event = 'retry'").orderBy("round").collect()] == [0, 3, 6]
+    assert result.visited.count() == 0 and [tuple(r) for r in result.frontier.collect()] == [(0, 9)] and result.rounds == 7
+    slow = page_crawl(web.read(spark, data, "pages")).round_ms(2500).add_middleware(step).max_rounds(3).build().run(spark, spark.createDataFrame([(0,)], "id long"))
+    assert slow.rounds == 3
+
+
+def test_crawl_stops_and_goes_on(spark, data, tmp_path):
+    pages, seeds = web.read(spark, data, "pages"), spark.createDataFrame([(0,)], "id long")
+    whole = page_crawl(pages).build().run(spark, seeds)
+    told = []
+    state = Pipeline("all", F.lit(True), state=F.count("*"), restore=told.append)
+    plan = page_crawl(pages).add_pipeline(state).spider_state(longest=F.max(F.length("title"))).with_checkpoint_path(f"file://{tmp_path}/s").with_checkpoint_interval(1)
+    part = plan.build().run(spark, seeds, stop=lambda rounds: rounds == 2)
+    assert part.stopped and part.rounds == 2 and part.pending > 0 and part.states["all"]["state"] == part.items.count()
+    assert plan.build().run(spark, seeds, resume=True, time_limit_s=0).rounds == 2
+    rest = plan.build().run(spark, seeds, resume=True)
+    assert told and told[0]["state"] == part.states["all"]["state"] and not rest.stopped
+    assert sorted(map(tuple, rest.visited.collect())) == sorted(map(tuple, whole.visited.collect())) and rest.items.count() == whole.items.count()
+    assert rest.log.count() == whole.log.count() + whole.items.count() * 0 and "longest" in rest.states["spider"]
+    again = plan.build().run(spark, seeds)  # a crawl that doesn't resume starts its snapshots afresh
+    assert snapshots.load(spark, f"file://{tmp_path}/s")["visited"].count() == again.visited.count()
+    assert page_crawl(pages).with_checkpoint_path(f"file://{tmp_path}/s").build().run(spark, seeds, resume=True).visited.count() == whole.visited.count()
+    import shutil
+
+    for folder in (tmp_path / "s").glob("snapshot-*"):
+        shutil.rmtree(folder)
+    assert snapshots.load(spark, f"file://{tmp_path}/s") is None
+
+
+def test_console_is_the_default_sink(spark, data, capsys):
+    plan = page_crawl(web.read(spark, data, "pages"))
+    plan._silent = False
+    plan.max_rounds(1).build().run(spark, spark.createDataFrame([(0,)], "id long"))
+    assert "title" in capsys.readouterr().out
+    with pytest.raises(ConfigurationError):
+        plan.add_pipeline(Pipeline("a", F.lit(True))).add_pipeline(Pipeline("a", F.lit(True))).build()
+
+
+def test_rate_of_events_at_one_instant(spark):
+    """Equal times, counted before the fold, give what a fold over single events gives."""
+    import random
+
+    r = random.Random(3)
+    times = sorted(r.choice([0.0, 0.2, 0.9, 1.0, 1.5, 2.5, 2.5, 4.0]) for _ in range(40))
+    rate, since, n = 0.0, times[0], 0
+    for now in times:
+        n += 1
+        if now - since >= 1:
+            rate, since, n = 0.2 * (n / (now - since)) + 0.8 * rate, now, 0
+    rows = spark.createDataFrame([("m", t) for t in times], "metric string, s double").select("metric", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"))
+    got = folds.rate_average(rows).first()
+    assert got.rate == pytest.approx(rate) and got.pending == n
+
+
+def test_worker_rule_and_settled_requests(spark):
+    assert [folds.scale_workers(d, w, 4) for d, w in ((13, 4), (12, 4), (100, 16), (1, 4), (1, 6), (3, 6))] == [5, 4, 16, 4, 5, 6]
+    rows = [("fetch_ok",), ("fetch_failed",), ("drop",), ("retry",), ("early_response",), ("enqueue_ok",)]
+    log = spark.createDataFrame(rows, "event string").withColumns({"host": F.lit("h"), "duration_ns": F.lit(5)})
+    assert folds.endpoint_errors(log).first().error_rate == pytest.approx(3 / 5)

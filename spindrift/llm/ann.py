@@ -1,21 +1,28 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Codes: vectors are scaled to length 1, centred and rotated by several learned
-rotations (iterative quantisation on a bounded sample); the signs are the bits. Each
-code is split into bytes. A byte's index lists, for every value, the codes that
-have it; with s bytes and radius r, a code within r of the query has some byte within
-floor(r / s) of the query's (pigeonhole), so probing the values that near finds every
-code within r. Those are checked for their whole distance and reranked by cosine.
-
-The radius is learned, too: a hash-chosen, bounded set of vectors is compared with
+rotations (iterative quantisation on a bounded sample, FIT); the signs are the bits. Each
+code is split into bytes, and each byte is indexed: with s bytes and radius r, a code
+within r of the query has some byte within floor(r / s) of the query's (pigeonhole), so
+probing the values that near finds every code within r. Those are checked for their
+whole distance and reranked by cosine.
+
+1. Blocks: every row is coded; rows in the order of their codes are written in blocks, so that
+   clustered vectors share blocks.
+2. Index: a table says which values of which byte occur in which block. Queries probe it
+   by an equality join on (byte, value) and so learn which blocks can hold codes within r.
+3. Search: within those blocks the probes are repeated on lists by byte and value; what they
+   find is checked and reranked, and the k best of a block go on.
+
+Queries are the rows whose vec_id is divisible by ``every``; the index holds all rows. The
+radius is learned, too: a hash-chosen, bounded set of vectors (PROBES) is compared with
 all vectors exactly, and r is the quantile of the code distances of their true
 neighbours. Queries that find fewer than k codes within r are searched again with
 the radius at its maximum, so every query gets its k.
 
-Index and queries are the same written blocks of vectors; each pair of blocks is one
-step of work. On data without structure (independent directions) no radius that
-reaches the neighbours excludes much, and the work is that of all pairs of codes; the
-closer true neighbours are, the less of it remains.
+On data without structure (independent directions) no radius that reaches the neighbours
+excludes much, and the work is that of all queries against all codes; the closer true
+neighbours are, the fewer blocks a query meets.
 
 Defined results
 ---------------
@@ -24,24 +31,26 @@ Defined results
 * NULL or empty embeddings, embeddings with NULL or non-finite entries, and those whose
   length isn't the commonest (ties: the longest) are left out. A vector of length 0 has
   cosine 0 with all. Fewer than k other vectors: all of them.
-* Repeated rows and NULL vec_id each are queries. Empty table: no rows.
+* Repeated rows each are queries (and found). A NULL vec_id is found, but is no query.
+  Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm.common import column, materialize, table
+from spindrift.llm.common import column, materialize, parts_of, table
 
-K, ROTATIONS, ITERATIONS, SEED = 10, 4, 30, 5
+K, EVERY, ROTATIONS, ITERATIONS, SEED = 10, 50, 4, 30, 5
 #: Bounds: vectors that fit the rotations, vectors that set the radius; its quantile.
 FIT, PROBES, QUANTILE = 20_000, 256, 0.98
-BLOCK = 4096
-SCHEMA = "block int, ids binary, known binary, vectors binary, codes binary"
+#: Vectors of a block, queries that meet a block at a time.
+BLOCK, QUERIES_AT_ONCE = 4096, 20_000
 
 
 def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -112,41 +121,39 @@ class ByteIndex:
         return found
 
 
-def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(len(ids), -1)
-    return ids, known, vectors, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+def near_values(radius: int, width: int) -> np.ndarray:
+    """(256, 256) truth table: values of a byte that a radius over ``width`` bytes has to probe."""
+    values = np.arange(256, dtype=np.uint8)
+    return np.bitwise_count(values[:, None] ^ values[None]) <= radius // width
+
 
+def search_block(qx: np.ndarray, qc: np.ndarray, own: np.ndarray, bx: np.ndarray, bc: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, base rows, cosines): for each query the k best of the block within the radius, and ties.
 
-def search_block(q, base, same: bool, radius: int, k: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query rows, base rows, cosines): for each query the k best of the block within the radius, and ties."""
-    _, _, qx, qc = q
-    _, _, bx, bc = base
+    ``own`` is the query's own row in the block, or -1.
+    """
     index = ByteIndex(bc)
     probed = index.probed(radius)
-    outs = ([], [], [])
-    rows = np.arange(len(qx)) if wanted is None else wanted
-    for at in range(0, len(rows), 256):
-        some = rows[at : at + 256]
-        found = index.within(np.ascontiguousarray(qc[some]), probed, radius)
-        if same:
-            found[np.arange(len(some)), some] = False
+    outs = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
+    for at in range(0, len(qx), 256):
+        x, mine = qx[at : at + 256], own[at : at + 256]
+        found = index.within(np.ascontiguousarray(qc[at : at + 256]), probed, radius)
+        here = np.flatnonzero(mine >= 0)
+        found[here, mine[here]] = False
         i, j = np.nonzero(found)
-        if len(i) > 0.1 * found.size:
-            cos = (qx[some] @ bx.T)[i, j]
-        else:
-            cos = np.concatenate([np.einsum("ij,ij->i", qx[some[i[a : a + 200_000]]], bx[j[a : a + 200_000]]) for a in range(0, len(i), 200_000)]) if len(i) else np.empty(0, np.float32)
-        cos = np.round(cos.astype(np.float64), 6)
+        cos = np.empty(len(i))
+        for a in range(0, len(i), 100_000):
+            some = slice(a, a + 100_000)
+            cos[some] = np.einsum("ij,ij->i", x[i[some]], bx[j[some]], dtype=np.float64)
+        cos = np.round(cos, 6)
         order = np.lexsort((-cos, i))
         i, j, cos = i[order], j[order], cos[order]
-        first = np.searchsorted(i, np.arange(len(some)))
-        last = np.searchsorted(i, np.arange(len(some)), "right")
+        first, last = np.searchsorted(i, np.arange(len(x))), np.searchsorted(i, np.arange(len(x)), "right")
         floor = np.where(last - first > k, cos[np.minimum(first + k - 1, len(cos) - 1)] if len(cos) else 0.0, -2.0)
         good = cos >= floor[i]
-        outs[0].append(some[i[good]])
-        outs[1].append(j[good])
-        outs[2].append(cos[good])
-    return tuple(np.concatenate(o) if o else np.empty(0) for o in outs)
+        for out, part in zip(outs, (i[good] + at, j[good], cos[good]), strict=True):
+            out.append(part)
+    return tuple(np.concatenate(o) for o in outs)
 
 
 def _clean(embeddings: DataFrame) -> DataFrame:
@@ -155,75 +162,125 @@ def _clean(embeddings: DataFrame) -> DataFrame:
     return rows.where("x IS NOT NULL AND size(x) > 0 AND NOT exists(x, v -> v IS NULL OR isnan(v) OR abs(v) = float('infinity'))")
 
 
-def _blocks(rows: DataFrame, mean, matrix, block: int) -> DataFrame:
-    """Vectors in written blocks, numbered from 0 within the input's partitions."""
-    def pack(batches):
-        ids, known, vectors = [], [], []
+_BLOCKS = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary())])
+
 
-        def row():
-            x = unit(np.concatenate(vectors))
-            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).tobytes()], "known": [np.concatenate(known).tobytes()], "vectors": [x.tobytes()], "codes": [encode(x, mean, matrix).tobytes()]}, schema=pa.schema([("ids", pa.binary()), ("known", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary())]))
+def _coded(rows: DataFrame, mean, matrix) -> DataFrame:
+    """(vec_id, vector, code) of every row, as bytes."""
 
-        held = 0
+    def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                column_ids = part.column(0)
-                known.append(~np.asarray(column_ids.is_null()))
-                ids.append(np.asarray(column_ids.fill_null(0)).astype(np.int64))
-                flat = np.asarray(part.column(1).flatten()).astype(np.float32)
-                vectors.append(flat.reshape(len(part), -1))
-                held += len(part)
-                if held >= block:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                x = unit(np.asarray(part.column(1).flatten()).astype(np.float32).reshape(len(part), -1))
+                code = encode(x, mean, matrix)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "vector", "code"])
+
+    return rows.mapInArrow(run, "vec_id bigint, vector binary, code binary")
+
+
+def _blocks(coded: DataFrame, total: int, block: int) -> DataFrame:
+    """Rows in the order of their codes, in written blocks; rows of one code may fill many."""
+    spread = F.xxhash64("vec_id", "vector")
+    ordered = coded.withColumn("h", spread).repartitionByRange(max(1, -(-total // (4 * block))), "code", "h").sortWithinPartitions("code", "h")
+
+    def pack(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        kept: list[tuple] = []
+
+        def row() -> pa.RecordBatch:
+            ids, vectors, codes = zip(*kept, strict=True)
+            values = [task << 20 | number, len(ids), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is not None for i in ids]).tobytes(), b"".join(vectors), b"".join(codes)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+        for part in parts_of(batches, "vec_id", "vector", "code"):
+            for one in part:
+                kept.append(one)
+                if len(kept) == block:
                     yield row()
-                    ids, known, vectors, held = [], [], [], 0
-        if held:
+                    kept, number = [], number + 1
+        if kept:
             yield row()
 
-    packed = materialize(rows.mapInArrow(pack, "ids binary, known binary, vectors binary, codes binary"), "ann-packed")
-    # numbers for the blocks: a window over one row a block, without the payload's bytes in a sort key
-    keyed = packed.withColumn("h", F.sha2("ids", 256)).withColumn("u", F.monotonically_increasing_id())
-    keyed = materialize(keyed, "ann-keyed")
-    numbers = keyed.select("u").withColumn("block", F.row_number().over(Window.orderBy("u")).cast("int") - 1)
-    return materialize(keyed.join(numbers, "u").select("block", "ids", "known", "vectors", "codes"), "ann-blocks")
+    return materialize(ordered.mapInArrow(pack, "block bigint, n int, ids binary, known binary, vectors binary, codes binary"), "ann-blocks")
 
 
-def _pairs(blocks: DataFrame, count: int) -> DataFrame:
-    left = blocks.select(*[F.col(c).alias("q_" + c) for c in blocks.columns]).repartition(count, "q_block")
-    right = blocks.select(*[F.col(c).alias("b_" + c) for c in blocks.columns]).repartition(count, "b_block")
-    return left.crossJoin(right)
+def _read(batch: pa.RecordBatch, at: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number, ids, known, vectors, codes) of a block."""
+    number, n, ids, known, vectors, codes = (batch.column(c)[at].as_py() for c in _BLOCKS.names)
+    return number, np.frombuffer(ids, np.int64), np.frombuffer(known, bool), np.frombuffer(vectors, np.float32).reshape(n, -1), np.frombuffer(codes, np.uint8).reshape(n, -1)
 
 
-_FOUND = "q_block int, q_row int, b_block int, b_row int, vec_id bigint, neighbor_id bigint, cosine double"
+def _queries(blocks: DataFrame, every: int) -> DataFrame:
+    """(q_block, q_row, vec_id, vector, code) of the rows whose id is divisible by ``every``."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(len(batch)):
+                number, ids, known, x, codes = _read(batch, at)
+                rows = np.flatnonzero(known & (ids % every == 0))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(rows.astype(np.int32)), pa.array(ids[rows]), pa.array([x[r].tobytes() for r in rows], pa.binary()), pa.array([codes[r].tobytes() for r in rows], pa.binary())], names=["q_block", "q_row", "vec_id", "vector", "code"])
+
+    return blocks.mapInArrow(run, "q_block bigint, q_row int, vec_id bigint, vector binary, code binary")
 
-def _found_batch(qb: int, bb: int, q, base, i, j, cos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "q_block": pa.array(np.full(len(i), qb, np.int32)), "q_row": pa.array(i.astype(np.int32)), "b_block": pa.array(np.full(len(i), bb, np.int32)), "b_row": pa.array(j.astype(np.int32)),
-        "vec_id": pa.array(q[0][i], mask=~q[1][i]), "neighbor_id": pa.array(base[0][j], mask=~base[1][j]), "cosine": pa.array(cos),
-    })
 
+def _index(blocks: DataFrame) -> DataFrame:
+    """(pos, value, block): which values of which byte occur in which block."""
 
-def _searched(pairs: DataFrame, radius: int, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in (batch.slice(n, 1).to_pylist()[0] for n in range(len(batch))):
-                q = _unpack({c: row["q_" + c] for c in ("ids", "known", "vectors", "codes")})
-                base = _unpack({c: row["b_" + c] for c in ("ids", "known", "vectors", "codes")})
-                wanted = np.frombuffer(row["wanted"], np.int32) if "wanted" in row else None
-                i, j, cos = search_block(q, base, row["q_block"] == row["b_block"], radius, k, wanted)
-                if len(i):
-                    yield _found_batch(row["q_block"], row["b_block"], q, base, i.astype(np.int64), j.astype(np.int64), cos)
+            for at in range(len(batch)):
+                number, *_, codes = _read(batch, at)
+                pos, value = np.nonzero(np.stack([np.bincount(codes[:, s], minlength=256) for s in range(codes.shape[1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(pos.astype(np.int32)), pa.array(value.astype(np.int32)), pa.array(np.full(len(pos), number))], names=["pos", "value", "block"])
+
+    return blocks.mapInArrow(run, "pos int, value int, block bigint")
+
+
+def _routed(queries: DataFrame, index: DataFrame, radius: int, width: int) -> DataFrame:
+    """(q_block, q_row, block): the blocks in which some byte has a value that the query probes."""
+    spark = queries.sparkSession
+    pairs = np.argwhere(near_values(radius, width))
+    probes = spark.createDataFrame(pa.table({"asked": pairs[:, 0].astype(np.int32), "value": pairs[:, 1].astype(np.int32)}))  # 256 * 256 rows at most
+    # what a query's byte leads to, once for each byte and value: 256 * width values, whatever the queries
+    leads = index.join(F.broadcast(probes), "value").select("pos", "asked", "block").distinct()
+    octets = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda p: F.struct(p.alias("pos"), F.conv(F.hex(F.substring("code", p + 1, F.lit(1))), 16, 10).cast("int").alias("asked")))
+    asked = queries.select("q_block", "q_row", F.inline(octets))
+    return asked.join(leads, ["pos", "asked"]).select("q_block", "q_row", "block").distinct()
+
 
-    return pairs.mapInArrow(run, _FOUND)
+_FOUND = "q_block bigint, q_row int, b_block bigint, b_row int, vec_id bigint, neighbor_id bigint, cosine double"
+
+
+def _searched(queries: DataFrame, blocks: DataFrame, index: DataFrame, radius: int, width: int, k: int, groups: int) -> DataFrame:
+    """The k best of each block for the queries routed to it. ``groups`` of queries meet a block in turn."""
+    group = F.pmod(F.xxhash64("q_block", "q_row"), F.lit(groups)).cast("int")
+    sent = _routed(queries, index, radius, width).join(queries, ["q_block", "q_row"]).withColumn("g", group)
+    there = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        empty = pa.schema([("q_block", pa.int64()), ("q_row", pa.int32()), ("b_block", pa.int64()), ("b_row", pa.int32()), ("vec_id", pa.int64()), ("neighbor_id", pa.int64()), ("cosine", pa.float64())]).empty_table()
+        if not len(q) or not len(b):
+            return empty
+        number, ids, known, x, codes = _read(b.combine_chunks().to_batches()[0], 0)
+        qb, qr, qi = (q.column(c).to_numpy() for c in ("q_block", "q_row", "vec_id"))
+        qx = np.frombuffer(b"".join(q.column("vector").to_pylist()), np.float32).reshape(len(q), -1)
+        qc = np.frombuffer(b"".join(q.column("code").to_pylist()), np.uint8).reshape(len(q), -1)
+        i, j, cos = search_block(qx, qc, np.where(qb == number, qr, -1), x, codes, radius, k)
+        arrays = [pa.array(qb[i]), pa.array(qr[i].astype(np.int32)), pa.array(np.full(len(i), number)), pa.array(j.astype(np.int32)), pa.array(qi[i]), pa.array(ids[j], mask=~known[j]), pa.array(cos)]
+        return pa.Table.from_arrays(arrays, schema=empty.schema)
+
+    return sent.groupBy("block", "g").cogroup(there.groupBy("block", "g")).applyInArrow(run, _FOUND)
 
 
 def _learned_radius(blocks: DataFrame, sample: np.ndarray, codes: np.ndarray, k: int, quantile: float) -> int:
     """The quantile of code distances between the sample's vectors and their exact k neighbours among all."""
+
     def run(batches):
         for batch in batches:
-            for row in (batch.slice(n, 1).to_pylist()[0] for n in range(len(batch))):
-                _, _, x, c = _unpack(row)
+            for at in range(len(batch)):
+                *_, x, c = _read(batch, at)
                 cos = sample @ x.T
                 top = np.argpartition(-cos, min(k, len(x) - 1), axis=1)[:, : k + 1]
                 distance = np.bitwise_count(codes[:, None, :] ^ c[top]).sum(2)
@@ -236,43 +293,39 @@ def _learned_radius(blocks: DataFrame, sample: np.ndarray, codes: np.ndarray, k:
     return int(np.quantile(distances, quantile, method="higher")) if distances else 8 * codes.shape[1]
 
 
-def ann_join(embeddings: DataFrame, k: int = K, quantile: float = QUANTILE, block: int = BLOCK) -> DataFrame:
-    """(vec_id, rank, neighbor_id, cosine): the k nearest others of every vector, ranks from 1."""
+def ann_search(embeddings: DataFrame, k: int = K, every: int = EVERY, quantile: float = QUANTILE, block: int = BLOCK) -> DataFrame:
+    """(vec_id, rank, neighbor_id, cosine): the k nearest others of every query, ranks from 1."""
     spark = embeddings.sparkSession
     clean = _clean(embeddings)
-    dims = clean.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    empty = spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, cosine double")
+    dims = clean.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if dims is None:
-        return empty
+        return spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, cosine double")
     rows = clean.where(F.size("x") == dims.d)
     hashed = rows.withColumn("h", F.xxhash64("x")).orderBy("h").limit(FIT).select("x")
     flat = hashed.toArrow().column(0).combine_chunks()
     sample = unit(np.asarray(flat.flatten()).astype(np.float32).reshape(-1, dims.d))
     mean, matrix = learn_rotations(sample)
-    blocks = _blocks(rows, mean, matrix, block)
-    count = blocks.count()
+    blocks = _blocks(_coded(rows, mean, matrix), dims.n, block)
     probes = sample[:PROBES]
-    radius = _learned_radius(blocks, probes, encode(probes, mean, matrix), k, quantile)
-    found = materialize(_searched(_pairs(blocks, count), radius, k), "ann-found")
+    codes = encode(probes, mean, matrix)
+    width = codes.shape[1]
+    radius = _learned_radius(blocks, probes, codes, k, quantile)
+    queries = materialize(_queries(blocks, every), "ann-queries")
+    index = materialize(_index(blocks), "ann-index")
+    groups = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    found = materialize(_searched(queries, blocks, index, radius, width, k, groups), "ann-found")
     # queries that found fewer than k within the radius are searched among all codes
-    sizes = blocks.select("block", F.expr("posexplode(array_repeat(0, cast(length(ids) / 8 AS int))) AS (q_row, z)")).select(F.col("block").alias("q_block"), "q_row")
-    enough = found.groupBy("q_block", "q_row").count().where(F.col("count") >= k).select("q_block", "q_row")
-    short = sizes.join(enough, ["q_block", "q_row"], "left_anti")
-    def rows_of_block(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"w_block": [pdf["q_block"].iloc[0]], "wanted": [np.sort(pdf["q_row"].to_numpy()).astype(np.int32).tobytes()]})
-
-    wanted = materialize(short.groupBy("q_block").applyInPandas(rows_of_block, "w_block int, wanted binary"), "ann-short")
-    again = _pairs(blocks, count).join(wanted, F.col("q_block") == F.col("w_block"))
-    rest = materialize(_searched(again, 8 * ((matrix.shape[1] + 63) // 64 * 8), k), "ann-rest")
-    every = found.join(short, ["q_block", "q_row"], "left_anti").select(*[c.split(" ")[0] for c in _FOUND.split(", ")]).unionByName(rest)
+    enough = found.groupBy("q_block", "q_row").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("q_block", "q_row")
+    short = materialize(queries.join(enough, ["q_block", "q_row"], "left_anti"), "ann-short")
+    rest = materialize(_searched(short, blocks, index, 8 * width, width, k, groups), "ann-rest")
+    whole = found.join(short.select("q_block", "q_row"), ["q_block", "q_row"], "left_anti").unionByName(rest)
     order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("cosine"), F.asc_nulls_first("neighbor_id"), "b_block", "b_row")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "cosine")
+    return whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "cosine")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann_join(table(spark, sf_dir, "embeddings"))
+    """The neighbours of every vector whose id is divisible by 50, among all vectors."""
+    return ann_search(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {"op6_ann": op6_ann}

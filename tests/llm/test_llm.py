@@ -499,7 +499,7 @@ def test_ann_recall(spark):
     x[700:900] = x[:200] + 0.1 * r.normal(size=(200, 32))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
     got = defaultdict(dict)
-    for row in ann.ann_join(frame, k=10, block=256).collect():
+    for row in ann.ann_search(frame, k=10, every=1, block=256).collect():
         got[row.vec_id][row.neighbor_id] = row.cosine
     u = ann.unit(x)
     cos = u @ u.T
@@ -522,12 +522,41 @@ def test_byte_index_is_exact():
 
 def test_ann_odd(spark):
     schema = "vec_id long, embedding array<float>"
-    assert ann.ann_join(spark.createDataFrame([], schema)).count() == 0
+    assert ann.ann_search(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [0.0, 1.0]), (2, None), (3, []), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 0.0])]
-    got = ann.ann_join(spark.createDataFrame(rows, schema), k=2).collect()
-    assert Counter(x.vec_id for x in got) == Counter({1: 4, None: 2, 7: 2})
+    wide = spark.createDataFrame(rows, schema).withColumns({c: F.lit(c) for c in ("x", "code", "block", "value", "h", "q_row")})
+    got = ann.ann_search(wide, k=2, every=1).collect()
+    assert Counter(x.vec_id for x in got) == Counter({1: 4, 7: 2}) and any(x.neighbor_id is None for x in got)
+    assert {x.vec_id for x in ann.ann_search(wide, k=2, every=7).collect()} == {7} and ann.ann_search(wide, every=5).count() == 0
     assert all(x.neighbor_id == 1 and x.cosine == 1 for x in got if x.vec_id == 1 and x.rank == 1)
-    assert ann.ann_join(spark.createDataFrame(rows[:1], schema)).count() == 0
+    assert ann.ann_search(spark.createDataFrame(rows[:1], schema), every=1).count() == 0
+
+
+def test_ann_on_clusters(spark):
+    """Clustered vectors: all neighbours, a part of the blocks, and no product of tables."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 64))
+    shares = []
+    for size in (25, 100):
+        x = (np.repeat(centres, size, 0) + 0.05 * r.normal(size=(40 * size, 64))).astype(np.float32)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+        got = defaultdict(list)
+        for row in ann.ann_search(frame, every=50, block=100).orderBy("vec_id", "rank").collect():
+            got[row.vec_id].append(row.neighbor_id)
+        u = ann.unit(x.astype(np.float64))
+        cos = u @ u.T
+        np.fill_diagonal(cos, -2)
+        assert sorted(got) == list(range(0, 40 * size, 50))
+        assert np.mean([len(set(np.argsort(-cos[i])[:10].tolist()) & set(v)) / 10 for i, v in got.items()]) >= 0.95
+        mean, matrix = ann.learn_rotations(ann.unit(x))
+        blocks = ann._blocks(ann._coded(ann._clean(frame), mean, matrix), len(x), 100)
+        queries, index = ann._queries(blocks, 50), ann._index(blocks)
+        routed = ann._routed(queries, index, 20, 32)
+        shares.append(routed.count() / (queries.count() * blocks.count()))
+        plan = ann._searched(queries, blocks, index, 20, 32, 10, 1)._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert ann._routed(queries, index, 256, 32).count() == queries.count() * blocks.count()
+    assert shares[1] < 0.5 and shares[1] < 0.6 * shares[0]
 
 
 # ---- 7 quality ----------------------------------------------------------------------------

@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import re
 import string
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import column, parts_of, table
+from spindrift.llm.common import column, materialize, parts_of, table
 
 TOKEN = re.compile(r"\w+(?:[-+/.~]\w+)*|[^\w\s]")
 B, I, O = 0, 1, 2  # noqa: E741
@@ -373,6 +374,24 @@ def train(seed: int = SEED, sentences: int = SENTENCES, steps: int = STEPS) -> C
     return Crf(names, w.copy(), trans.copy(), start.copy(), filew.copy())
 
 
+_FITTED: dict[tuple, Crf] = {}
+
+
+def fitted(spark: SparkSession, seed: int = SEED, sentences: int = SENTENCES, steps: int = STEPS) -> Crf:
+    """:func:`train` in one task, once an application; the weights (bounded by the number of
+    sentences) are a written table."""
+    key = (spark.sparkContext.applicationId, seed, sentences, steps)
+    if key not in _FITTED:
+
+        def fit(batches):
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(seed, sentences, steps))], pa.binary())], names=["model"])
+
+        stored = materialize(spark.range(0, 1, 1, 1).mapInArrow(fit, "model binary"), "secret-field")
+        _FITTED[key] = pickle.loads(stored.first().model)
+    return _FITTED[key]
+
+
 # ---- decoding -------------------------------------------------------------------------
 
 
@@ -463,7 +482,7 @@ class Tagger:
 
 def secret_spans(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """(doc_id, secret_no, start_char, end_char, secret) of all documents: a map, no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or train())
+    sent = docs.sparkSession.sparkContext.broadcast(model or fitted(docs.sparkSession))
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text")).where("text IS NOT NULL")
 
     def scan(batches):
@@ -491,7 +510,7 @@ def redact_secrets(docs: DataFrame, model: Crf | None = None, mask: str = MASK)
     at = lower.index("text")
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
     schema = ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))
-    sent = docs.sparkSession.sparkContext.broadcast(model or train())
+    sent = docs.sparkSession.sparkContext.broadcast(model or fitted(docs.sparkSession))
 
     def scan(batches):
         tagger = Tagger(sent.value)

@@ -390,6 +390,13 @@ def test_secrets_held_out():
     assert right > 0.95 * (right + wrong) and right > 0.95 * (right + missed)
 
 
+def test_field_is_fitted_in_a_task_once(spark, monkeypatch):
+    one = secret_scan.fitted(spark, sentences=60, steps=3)
+    assert secret_scan.fitted(spark, sentences=60, steps=3) is one
+    here = secret_scan.train(sentences=60, steps=3)
+    assert one.names == here.names and np.allclose(one.weights, here.weights) and np.allclose(one.trans, here.trans)
+
+
 def test_pruned_decoding_is_viterbi():
     model = secret_scan.train()
     tagger = secret_scan.Tagger(model)

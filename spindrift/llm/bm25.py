@@ -1,18 +1,17 @@
 """Exact top-k search by BM25 over inverted indexes with block-max WAND.
 
-1. Index: every task turns its documents into shards of bounded size. A shard holds, for
-   each term of the query batch, its postings (document, frequency) in document order,
-   and the lengths of all its documents. Terms that no query has can't score and
-   aren't kept. The shards are a written table.
-2. Statistics: number of documents, mean length and document frequencies are summed
-   over all shards, so that scores don't depend on how documents fell into shards.
-3. Search: in each shard every query runs block-max WAND. Cursors in document order
-   skip every document, and every block of postings, whose summed upper bounds can't
-   reach the k-th score found so far (which is carried on to the task's next shard). The
-   k best of every task are merged by rank.
-
-Queries are sent to the tasks in batches of bounded size; more queries make more
-batches, not larger ones.
+1. Index: every task turns its documents into shards of bounded size. A shard holds the
+   postings (document, frequency) of all its terms in document order, and the lengths
+   of its documents. The shards are a table that is written once, whatever the queries.
+2. Statistics: number of documents, mean length and the document frequencies of the
+   queries' terms are summed over all shards, so that scores don't depend on how documents
+   fell into shards. Queries, with these frequencies, are a written table, too.
+3. Search: for each shard every query runs block-max WAND. Cursors in document order skip
+   every document, and every block of postings, whose summed upper bounds can't reach the
+   k-th score found so far. Each shard's k best are merged by rank.
+
+A task reads its shards, and for each the table of queries in batches of bounded size;
+neither the index nor the queries are shuffled or pass through the driver.
 
 Defined results
 ---------------
@@ -22,6 +21,7 @@ Defined results
   empty query, or one without words: no rows. NULL ids are carried; repeated rows are
   documents (and queries) each, told apart by their rows.
 * A term that a query repeats counts as often. Very long documents are indexed whole.
+* Terms are told apart by 64 bits of their hashes.
 * Empty tables: no rows. Other columns are ignored.
 """
 
@@ -30,67 +30,71 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm.common import WORD, column, materialize, parts_of, table
+from spindrift.llm.common import WORD, WordHasher, column, materialize, open_path, parts_of, table, written
 
 K, K1, B = 10, 1.2, 0.75
-#: Tokens of a shard, postings of a block, bytes of text of a batch of queries.
-SHARD_TOKENS, BLOCK, BATCH_BYTES = 4_000_000, 64, 8_000_000
+#: Tokens of a shard, postings of a block, queries of a batch, postings of a shard that are kept ready.
+SHARD_TOKENS, BLOCK, BATCH, READY = 4_000_000, 64, 2000, 3_000_000
 END = 1 << 60
-_INDEX = pa.schema([("docs", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("terms", pa.list_(pa.int32())), ("dfs", pa.list_(pa.int32())), ("postings", pa.binary()), ("freqs", pa.binary())])
-_INDEX_DDL = "docs bigint, tokens bigint, ids binary, known binary, lengths binary, terms array<int>, dfs array<int>, postings binary, freqs binary"
+_INDEX = pa.schema([("docs", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("terms", pa.binary()), ("dfs", pa.binary()), ("postings", pa.binary()), ("freqs", pa.binary())])
+_INDEX_DDL = "docs bigint, tokens bigint, ids binary, known binary, lengths binary, terms binary, dfs binary, postings binary, freqs binary"
 
 
 class _Builder:
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary = vocabulary
+    def __init__(self) -> None:
+        self.hasher = WordHasher()
         self.clear()
 
     def clear(self) -> None:
         self.ids: list[int | None] = []
         self.lengths: list[int] = []
-        self.parts: list[np.ndarray] = []
+        self.terms: list[np.ndarray] = []
+        self.docs: list[np.ndarray] = []
         self.tokens = 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         words = WORD.findall(text.lower()) if text else []
-        get = self.vocabulary.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        found = found[found >= 0]
-        self.parts.append(found << 32 | len(self.ids))
+        self.terms.append(self.hasher(words))
+        self.docs.append(np.full(len(words), len(self.ids), np.int32))
         self.ids.append(doc_id)
         self.lengths.append(len(words))
         self.tokens += len(words) + 8
 
     def row(self) -> pa.RecordBatch:
-        pairs, freqs = np.unique(np.concatenate(self.parts), return_counts=True)
-        terms, docs = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int32)
+        terms, docs = np.concatenate(self.terms).view(np.int64), np.concatenate(self.docs)
+        order = np.argsort(terms, kind="stable")  # documents stay in order
+        terms, docs = terms[order], docs[order]
+        first = np.ones(len(terms), bool)
+        first[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
+        at = np.flatnonzero(first)
+        freqs = np.diff(np.append(at, len(terms)))
+        terms, docs = terms[at], docs[at]
         starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
         dfs = np.diff(np.append(starts, len(terms)))
         known = np.array([i is not None for i in self.ids])
         row = {
             "docs": len(self.ids), "tokens": int(sum(self.lengths)), "ids": np.array([i or 0 for i in self.ids], np.int64).tobytes(), "known": known.tobytes(),
-            "lengths": np.array(self.lengths, np.int32).tobytes(), "terms": terms[starts].astype(np.int32), "dfs": dfs.astype(np.int32),
+            "lengths": np.array(self.lengths, np.int32).tobytes(), "terms": terms[starts].tobytes(), "dfs": dfs.astype(np.int32).tobytes(),
             "postings": docs.tobytes(), "freqs": freqs.astype(np.int32).tobytes(),
         }
         self.clear()
         return pa.RecordBatch.from_pylist([row], schema=_INDEX)
 
 
-def build_index(docs: DataFrame, vocabulary, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Shards of an inverted index over the terms of ``vocabulary`` (a broadcast term -> number)."""
+def build_index(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Shards of an inverted index over all terms of all documents, a written table."""
     rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
 
     def run(batches):
-        builder = _Builder(vocabulary.value)
+        builder = _Builder()
         for part in parts_of(batches, "doc_id", "text"):
             for doc_id, text in part:
                 builder.add(doc_id, text)
@@ -126,23 +130,36 @@ class _Cursor:
 class Shard:
     """One shard with the scores of its postings, ready to search."""
 
-    def __init__(self, row: dict, idf: dict[int, float], mean: float, k1: float, b: float) -> None:
+    def __init__(self, row: dict, mean: float, k1: float, b: float) -> None:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.known = np.frombuffer(row["known"], bool)
         lengths = np.frombuffer(row["lengths"], np.int32)
         norm = k1 * (1 - b + b * lengths / mean) if mean else np.full(len(lengths), k1)
-        docs = np.frombuffer(row["postings"], np.int32)
+        self.docs = np.frombuffer(row["postings"], np.int32)
         freqs = np.frombuffer(row["freqs"], np.int32)
-        weight = freqs * (k1 + 1) / (freqs + norm[docs])
+        self.weight = freqs * (k1 + 1) / (freqs + norm[self.docs])
+        self.terms = np.frombuffer(row["terms"], np.int64)
+        self.cuts = np.concatenate([[0], np.cumsum(np.frombuffer(row["dfs"], np.int32).astype(np.int64))])
         self.lists: dict[int, tuple] = {}
-        at = 0
-        for term, df in zip(row["terms"], row["dfs"], strict=True):
-            d, s = docs[at : at + df], weight[at : at + df] * idf[term]
-            starts = np.arange(0, df, BLOCK)
+        self.ready = 0
+
+    def load(self, idf: dict[int, float]) -> None:
+        """Make the postings of these terms ready."""
+        if self.ready > READY:
+            self.lists.clear()
+            self.ready = 0
+        if not len(self.terms):
+            return
+        wanted = np.array([t for t in idf if t not in self.lists], np.int64)
+        at = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
+        for i in at[self.terms[at] == wanted].tolist():
+            term, low, high = int(self.terms[i]), int(self.cuts[i]), int(self.cuts[i + 1])
+            d, s = self.docs[low:high], self.weight[low:high] * idf[term]
+            starts = np.arange(0, len(d), BLOCK)
             tops = np.maximum.reduceat(s, starts)
-            ends = d[np.append(starts[1:], df) - 1]
+            ends = d[np.append(starts[1:], len(d)) - 1]
             self.lists[term] = (d, s, d.tolist(), s.tolist(), ends.tolist(), tops.tolist(), float(s.max()))
-            at += df
+            self.ready += len(d)
 
     def prime(self, terms: list[tuple[int, int]], want: int) -> dict[int, float]:
         """Whole scores of the documents in the query's shortest lists: a first threshold."""
@@ -160,7 +177,7 @@ class Shard:
         return dict(zip(some.tolist(), total.tolist(), strict=True))
 
     def search(self, query: list[tuple[int, int]], k: int, best: list[tuple]) -> None:
-        """Block-max WAND. ``best`` is a heap of (score, order of the id, ...) of at most k, kept across shards."""
+        """Block-max WAND. ``best`` is a heap of (score, order of the id, ...) of at most k."""
         terms = [(t, times) for t, times in query if t in self.lists]
         if not terms:
             return
@@ -237,60 +254,67 @@ def _doc_of(c: _Cursor) -> int:
     return c.doc
 
 
-def _batches(queries: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str]]]:
-    rows = queries.select(column(queries, "item_id", "bigint").alias("i"), column(queries, "text", "string").alias("t")).where("t IS NOT NULL AND t != ''")
-    held, size = [], 0
-    for row in rows.toLocalIterator():
-        held.append((row.i, row.t))
-        size += len(row.t)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _search_batch(docs: DataFrame, batch: list[tuple[int | None, str]], k: int, k1: float, b: float, shard_tokens: int) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary: dict[str, int] = {}
-    parsed = []
-    for item, text in batch:
-        counts = Counter(WORD.findall(text.lower()))
-        parsed.append((item, [(vocabulary.setdefault(w, len(vocabulary)), c) for w, c in sorted(counts.items())]))
-    index = build_index(docs, spark.sparkContext.broadcast(vocabulary), shard_tokens)
+def _terms(queries: DataFrame) -> DataFrame:
+    """(q, item_id, term, times) of the queries, a written table; q tells rows apart."""
+    rows = queries.select(column(queries, "item_id", "bigint").alias("item_id"), column(queries, "text", "string").alias("text")).where("text IS NOT NULL AND text != ''")
+
+    def run(batches):
+        hasher = WordHasher()
+        for part in parts_of(batches, "q", "item_id", "text"):
+            for q, item, text in part:
+                term, times = np.unique(hasher(WORD.findall(text.lower())).view(np.int64), return_counts=True)
+                if len(term):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), q)), pa.array([item] * len(term), pa.int64()), pa.array(term), pa.array(times)], names=["q", "item_id", "term", "times"])
+
+    return materialize(rows.withColumn("q", F.monotonically_increasing_id()).mapInArrow(run, "q bigint, item_id bigint, term bigint, times bigint"), "bm25-terms")
+
+
+def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df) over all shards, of the terms that some query has."""
+
+    def run(batches):
+        for batch in batches:
+            for term, df in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(term.as_py(), np.int64)), pa.array(np.frombuffer(df.as_py(), np.int32))], names=["term", "df"])
+
+    every = index.select("terms", "dfs").mapInArrow(run, "term bigint, df int")
+    return every.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B, batch: int = BATCH) -> DataFrame:
+    """(item_id, rank, doc_id, score): the k best documents of every query in a written index."""
+    terms = _terms(queries)
     totals = index.agg(F.sum("docs").alias("n"), F.sum("tokens").alias("t")).first()
     n, mean = totals.n or 0, (totals.t or 0) / totals.n if totals.n else 0.0
-    # one row a term of the batch
-    dfs = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("z")).groupBy("z.terms").agg(F.sum("z.dfs").alias("df")).collect()
-    idf = {r.terms: math.log(1 + (n - r.df + 0.5) / (r.df + 0.5)) for r in dfs}
-    sent = spark.sparkContext.broadcast((parsed, idf, mean))
+    ready = terms.join(_frequencies(index, terms), "term").groupBy("q", "item_id").agg(F.array_sort(F.collect_list(F.struct("term", "times", "df"))).alias("terms"))
+    _, where = written(ready, "bm25-queries")
 
     def run(batches):
-        parsed, idf, mean = sent.value
-        best: list[list[tuple]] = [[] for _ in parsed]
+        fs, folder = open_path(where)
+        asked = ds.dataset(folder, filesystem=fs, format="parquet", schema=pa.schema([("q", pa.int64()), ("item_id", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.int64()), ("times", pa.int64()), ("df", pa.int64())])))]))
         for arrow in batches:
             for at in range(len(arrow)):
-                row = {name: arrow.column(name)[at].as_py() for name in arrow.schema.names}
-                shard = Shard(row, idf, mean, k1, b)
-                for q, (_, terms) in enumerate(parsed):
-                    shard.search(terms, k, best[q])
-        out = [(q, parsed[q][0], entry[3], entry[0]) for q, heap in enumerate(best) for entry in heap]
-        if out:
-            numbers, items, ids, scores = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({"q": pa.array(numbers, pa.int64()), "item_id": pa.array(items, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+                shard = Shard({name: arrow.column(name)[at].as_py() for name in arrow.schema.names}, mean, k1, b)
+                for some in asked.to_batches(batch_size=batch):
+                    parsed = [[(t["term"], t["times"], t["df"]) for t in row] for row in some.column("terms").to_pylist()]
+                    shard.load({t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for row in parsed for t, _, df in row})
+                    out = []
+                    for q, item, row in zip(some.column("q").to_pylist(), some.column("item_id").to_pylist(), parsed, strict=True):
+                        best: list[tuple] = []
+                        shard.search([(t, times) for t, times, _ in row], k, best)
+                        out += [(q, item, entry[3], entry[0]) for entry in best]
+                    if out:
+                        numbers, items, ids, scores = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_pydict({"q": pa.array(numbers, pa.int64()), "item_id": pa.array(items, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     found = index.mapInArrow(run, "q bigint, item_id bigint, doc_id bigint, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B, shard_tokens: int = SHARD_TOKENS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B, shard_tokens: int = SHARD_TOKENS, batch: int = BATCH) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of every query."""
-    out = None
-    for batch in _batches(queries, batch_bytes):
-        one = _search_batch(docs, batch, k, k1, b, shard_tokens)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score double")
+    return search_index(build_index(docs, shard_tokens), queries, k, k1, b, batch)
 
 
 def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.scratch import discard, materialize, scratch_path, shared_dir  # noqa: F401
+from spindrift.scratch import discard, materialize, scratch_path, shared_dir, written  # noqa: F401
 
 #: Word tokens used by the operators that compare or score words.
 WORD = re.compile(r"\w+")

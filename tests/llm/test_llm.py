@@ -172,7 +172,7 @@ def test_bm25_brute(spark, shard):
     docs += docs[:20] + [(900, None)]
     queries = [(q, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 12)))) for q in range(25)]
     got = defaultdict(list)
-    for x in bm25.bm25_search(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "item_id long, text string"), k=7, shard_tokens=shard, batch_bytes=200).orderBy("item_id", "rank").collect():
+    for x in bm25.bm25_search(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "item_id long, text string"), k=7, shard_tokens=shard, batch=3).orderBy("item_id", "rank").collect():
         got[x.item_id].append((x.score, x.doc_id))
     for q, text in queries:
         want = brute_bm25(docs, text, 7)
@@ -180,6 +180,24 @@ def test_bm25_brute(spark, shard):
         assert [i for _, i in got[q]] == [i for _, i in want]
 
 
+def test_bm25_batches_read_one_index(spark):
+    """The index is built by one pass over the texts; any batches and other queries read the same table."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(r.choices("abcdefghij", k=r.randint(1, 40)))) for i in range(200)], "doc_id long, text string").withColumns({"terms": F.lit(1), "q": F.lit(2)})
+    queries = spark.createDataFrame([(i, " ".join(r.choices("abcdefghijk", k=4))) for i in range(9)], "item_id long, text string").withColumns({"term": F.lit(1), "df": F.lit(2)})
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(len(batch))
+            yield batch
+
+    index = bm25.build_index(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string"), 300)
+    whole = sorted(map(tuple, bm25.search_index(index, queries).collect()))
+    assert len(whole) == 90 and sorted(map(tuple, bm25.search_index(index, queries, batch=2).collect())) == whole
+    assert sorted(map(tuple, bm25.bm25_search(docs, queries).collect())) == whole and passes.value == 200
+
+
 def test_bm25_odd(spark, odd, empty):
     queries = spark.createDataFrame([(1, "lorem words"), (2, None), (3, ""), (4, "..."), (None, "same same"), (5, "nowhere")], "item_id long, text string")
     got = bm25.bm25_search(odd, queries, k=2).collect()

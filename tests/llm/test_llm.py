@@ -786,17 +786,9 @@ def test_pipeline_by_brute_force(spark, data):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "bpe"]
     good = {x.doc_id for x in quality.quality_scores(docs, table(spark, data, "labels")).where("p_quality >= 0.5").select("doc_id").collect()}
     texts = {x.doc_id: x.text for x in docs.collect() if x.doc_id in good}
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j, _ in brute_pairs(list(texts.items()), ngram_join.N, ngram_join.THRESHOLD):
-        a, b = sorted((find(i), find(j)))
-        root[b] = a
-    kept = {i: t for i, t in texts.items() if find(i) == i}
+    classes = brute_links(list(texts.items()), ngram_join.N, ngram_join.THRESHOLD)[1]
+    kept = {i: texts[i] for i, first, _ in classes if i == first}
+    assert 0 < len(kept) < len(texts)
     tagger = secret_scan.Tagger(secret_scan.train())
     masked = {i: secret_scan.redact(t, tagger.secrets(t)) for i, t in kept.items()}
     source = {x.doc_id: x.source for x in docs.collect()}

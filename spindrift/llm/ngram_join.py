@@ -682,18 +682,27 @@ def _joined(docs: DataFrame, n: int, t: float, pairs: bool = False) -> tuple[Dat
     fewest = Window.partitionBy("a").orderBy("n", "c").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("upto", F.sum("n").over(fewest)).where(F.col("upto") > slack(F.col("size"), t))
     centres = cells.groupBy("a").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.array_sort(F.collect_list("c")).alias("cs"))
-    centres = materialize(centres, "ngram-centres")
+    centres = materialize(_few_files(centres), "ngram-centres")
     # the centres of a set are at most its keys
     spots = centres.select("a", "size", "weight", F.posexplode("cs").alias("k", "c"), "cs")
     spots = spots.select("a", "c", "size", "weight", _packed(F.slice("cs", F.lit(1), F.col("k"))).alias("smaller"))
     near = materialize(_shipped(spots, chunks, "sketch", parts).mapInArrow(_near(t), _SPOT).distinct(), "ngram-near")
     sent = _shipped(near, chunks, "grams", parts)
     links = sent.mapInArrow(_pairs(t), "a bigint, b bigint, common bigint, jaccard double") if pairs else sent.mapInArrow(_links(t), "a bigint, root bigint, deg bigint")
-    links = materialize(links, "ngram-links")
+    links = materialize(_few_files(links), "ngram-links")
     discard(spark, where)
     return members, sets, links
 
 
+def _few_files(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as their size needs, not one for each of the parts.
+
+    For each file that a task creates, Hadoop's local file system starts a process (chmod), which
+    shares the executor's memory until it runs and may be counted with it again.
+    """
+    return rows.hint("rebalance", "a")
+
+
 def _packed(longs: Column) -> Column:
     """An array of bigint as little-endian bytes."""
     return F.unhex(F.array_join(F.transform(longs, lambda v: F.lpad(F.hex(v), 16, "0")), ""))

@@ -272,6 +272,25 @@ def test_join_in_blocks(spark, monkeypatch):
     assert joined(frame) == want
 
 
+@pytest.mark.parametrize("join", [joined, lambda frame: ngram_join.similar_sets(frame)[1].count()])
+def test_join_writes_few_files(spark, monkeypatch, join):
+    """The number of files written follows the size of a table, not the number of parts."""
+    docs = near_copies(random.Random(31), 60)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    files, plain = {}, ngram_join.materialize
+
+    def counted(rows, name):
+        out = plain(rows, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    monkeypatch.setattr(ngram_join, "PART_GRAMS", 100)
+    found = join(frame)
+    assert found == (brute_links(docs, 2, 0.75)[1] if join is joined else len(brute_links(docs, 2, 0.75)[0]))
+    assert max(files[name] for name in ("ngram-centres", "ngram-near", "ngram-links")) <= 4, files
+
+
 def test_join_drops_no_pair_with_shared_passages(spark):
     """Large sets leave cells of few shared keys; pairs at the threshold stay, whatever passages others share."""
     r = random.Random(12)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def _hundredths(n: Column, unit: int) -> Column:
     """n / unit with two decimals, rounded half up in whole numbers."""
-    c = F.floor((n.cast("decimal(38,0)") * 100 + unit // 2) / F.lit(unit).cast("decimal(20,0)")).cast("bigint")
+    # bigint throughout: / rounds decimals to six places, which can reach the next whole number; n * 100 may not fit
+    n, u = n.cast("bigint"), F.lit(unit).cast("bigint")
+    c = F.call_function("div", n, u) * 100 + F.call_function("div", n % u * 100 + unit // 2, u)
     return F.concat(F.floor(c / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
 
 

@@ -53,6 +53,21 @@ def test_formats(spark):
     assert {r[0]: r[1] for r in got} == times
 
 
+def test_formats_just_below_a_half(spark):
+    """Quotients that six decimals round up to a whole number; against Python's whole numbers."""
+    sizes = [(k * unit - unit // 2 - 1) // 100 + more for unit in (1 << 10, 1 << 20, 1 << 30) for k in (101, 1999, 102_300) for more in (0, 1)] + [(1 << 63) - 1]
+    times = [1_004_999_999, 1_004_999_995, 1_004_999_994, 1_005_000_000, 59_994_999_999, (1 << 63) - 1]
+
+    def want(n, steps):
+        unit, name = next((u, name) for u, name in steps if n >= u)
+        c = (n * 100 + unit // 2) // unit
+        return f"{c // 100}.{c % 100:02d} {name}"
+
+    for values, shown, steps in ((sizes, formats.format_bytes, [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]), (times, formats.format_ns, [(10**9, "s")])):
+        got = spark.createDataFrame([(n,) for n in values], "n long").select("n", shown(F.col("n"))).collect()
+        assert {r[0]: r[1] for r in got} == {n: want(n, steps) for n in values}
+
+
 def test_chain_order_and_short_circuit(spark):
     rows = spark.createDataFrame([(1,)], "id long")
     free = [Step(n) for n in "ABC"]
